@@ -1,58 +1,16 @@
-"""What the corpus operators share: reading tables, and cutting lineage in a shared folder."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once for each application: workers import its functions by name."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="spanwright-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in package.rglob("*.py"):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(to))
+from ..session import stash, table
 
+__all__ = ["WORD", "stash", "table", "text_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where a session names none
-    (tests on one machine), a temporary folder is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spanwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: what follows no longer depends
-    on executors that may be lost, and nothing upstream runs twice."""
-    spark = df.sparkSession
-    ship(spark)
-    at = f"{shared_folder(spark)}/spanwright-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: A word is a maximal run of characters that are not ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(col: str = "text") -> Column:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import stash, table
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
@@ -144,29 +145,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("block", "at").select("block", "fp").mapInArrow(_links, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): root is the smallest node of the component; nodes without links are absent."""
-    edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), name)
-    known = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stash(small.filter("u > v").distinct(), name)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == known:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        known = now
-
-
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     fps = stash(fingerprints(docs), "simhash")
     distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp")))
+    roots = connected_components(links(distinct.select("fp")), "a", "b").toDF("node", "root")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(ids, "root").select("fp", "component_id"), "fp")

@@ -195,7 +195,7 @@ def test_trie_join_links_all(spark):
                 x ^= 1 << rnd.randrange(64)
             fps.add(x)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    got = {r["node"] & (1 << 64) - 1: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    got = {r["node"] & (1 << 64) - 1: r["component"] for r in simhash.connected_components(simhash.links(spark.createDataFrame(signed, "fp long")), "a", "b").collect()}
     root = brute_groups(list(fps))
     groups, want = defaultdict(set), defaultdict(set)
     for f in fps:
