@@ -44,7 +44,7 @@ def ocr_items(spark: SparkSession, glob: str) -> DataFrame:
     raw = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     raw = raw.filter(~F.col("file").endswith(".raw.json"))
     item = f"array<struct<{OCR_ITEM.replace(' ', ':').replace(',:', ',')}>>"
-    parts = F.coalesce(F.from_json("value", item), *(F.from_json(F.get_json_object("value", f"$.{k}"), item) for k in ("items", "results", "ocr")))
+    parts = F.coalesce(F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", item)), *(F.from_json(F.get_json_object("value", f"$.{k}"), item) for k in ("items", "results", "ocr")))
     page = F.regexp_extract("file", r"page_(\d+)", 1)
     rows = raw.select(page.alias("page"), F.posexplode(parts).alias("idx", "x")).select("page", "idx", "x.*")
     return rows.filter((F.trim("text") != "") & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))

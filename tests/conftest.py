@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     s = (SparkSession.builder.master("local[4]").appName("spanwright-tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+         .config("spark.driver.memory", "4g").config("spark.sql.codegen.wholeStage", "false").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
          .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
