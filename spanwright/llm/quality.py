@@ -13,8 +13,7 @@ the input with other names are kept as they are.
 
 from __future__ import annotations
 
-import math
-
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,65 +37,82 @@ CLASSES = ("letter", "accented", "upper", "digit", "space", "punct", "symbol")
 P = "__q_"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def _hash(word: str) -> int:
+    """The value of Spark's xxhash64 of a word."""
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+BIN_OF = {_hash(w): i + 1 for i, w in enumerate(BINS)}
+
+
+def _paired(hashes: Column, step: int) -> Column:
+    """Each place's hash combined with the one step places on."""
+    return F.zip_with(hashes, F.slice(hashes, F.lit(1 + step), F.greatest(F.size(hashes), F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with the columns __q_*: counts for the base rules and the two histograms."""
+    """docs with the columns __q_*: counts for the base rules and the two histograms. Each step is a column, so that none is
+    computed twice; windows of eight words come from pairs of pairs of pairs of word hashes."""
     t = text_of()
     d = docs.withColumn(f"{P}words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    words = F.col(f"{P}words")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumns({
-        f"{P}n_words": F.size(words).cast("long"),
-        f"{P}word_chars": F.length(F.array_join(words, "")).cast("long"),
         f"{P}lines": lines,
-        f"{P}hashes": F.transform(words, lambda w: F.xxhash64(w)),
-        f"{P}bins": F.sort_array(F.transform(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(BINS)), lambda w: F.find_in_set(w, F.lit(",".join(BINS))))),
+        f"{P}hashes": F.transform(f"{P}words", lambda w: F.xxhash64(w)),
+        f"{P}word_chars": F.length(F.array_join(f"{P}words", "")).cast("long"),
+        f"{P}rest": F.regexp_replace(t, r"[a-z\x20]+", ""),  # what the counts of classes look at
+        f"{P}n_chars": F.length(t).cast("long"),
     })
-    n = F.col(f"{P}n_words").cast("int")
-    hashes = F.col(f"{P}hashes")
+    hashes, rest = F.col(f"{P}hashes"), F.col(f"{P}rest")
+    count = lambda pattern: F.regexp_count(rest, F.lit(pattern)).cast("long")
     d = d.withColumns({
-        f"{P}n_symbols": _count(t, r"[#*$%&|<>]").cast("long"),
+        f"{P}n_words": F.size(hashes).cast("long"),
+        f"{P}n_symbols": count(r"[#*$%&|<>]"),
         f"{P}n_dup_lines": (F.size(f"{P}lines") - F.size(F.array_distinct(f"{P}lines"))).cast("long"),
-        f"{P}win": F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))),
-        f"{P}ends": F.filter(F.transform(f"{P}bins", lambda x, j: F.when(F.get(F.col(f"{P}bins"), j + 1).eqNullSafe(x), -1).otherwise(j)), lambda j: j >= 0),
+        f"{P}common": F.sort_array(F.expr(f"filter({P}hashes, h -> h IN ({','.join(f'{h}L' for h in BIN_OF)}))")),
+        f"{P}two": F.when(F.size(hashes) >= WINDOW, _paired(hashes, 1)),
+        f"{P}accented": count(r"[^\x00-\x7F]"),
+        f"{P}upper": count(r"[A-Z]"),
+        f"{P}digit": count(r"[0-9]"),
+        f"{P}punct": count(r"""[.,;:!?'"()\[\]/_=+@-]"""),
     })
-    win = F.col(f"{P}win")
+    d = d.withColumn(f"{P}four", _paired(F.col(f"{P}two"), 2))
+    d = d.withColumn(f"{P}win", F.slice(_paired(F.col(f"{P}four"), 4), F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))))
+    win, common = F.col(f"{P}win"), F.col(f"{P}common")
     # windows found twice: sort (hash, position), keep positions whose hash stands beside them too
-    d = d.withColumn(f"{P}sorted", F.when(F.size(win) > F.size(F.array_distinct(win)), F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    srt = F.col(f"{P}sorted")
+    d = d.withColumns({
+        f"{P}sorted": F.when(F.size(win) > F.size(F.array_distinct(win)), F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        f"{P}ends": F.filter(F.transform(common, lambda x, j: F.when(F.get(common, j + 1).eqNullSafe(x), -1).otherwise(j)), lambda j: j >= 0),
+    })
+    srt, ends = F.col(f"{P}sorted"), F.col(f"{P}ends")
     again = F.transform(srt, lambda s, j: F.when(F.get(srt, j - 1)["h"].eqNullSafe(s["h"]) | F.get(srt, j + 1)["h"].eqNullSafe(s["h"]), s["i"]).otherwise(-1))
-    d = d.withColumn(f"{P}pos", F.sort_array(F.filter(again, lambda i: i >= 0)))
-    pos, ends, bins = F.col(f"{P}pos"), F.col(f"{P}ends"), F.col(f"{P}bins")
-    covered = F.aggregate(F.transform(pos, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(pos, k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
+    number = F.expr("array(" + ",".join(f"{h}L" for h in BIN_OF) + ")")
     d = d.withColumns({
-        f"{P}n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        f"{P}pos": F.sort_array(F.filter(again, lambda i: i >= 0)),
         # (bin, count) for each common word present
-        f"{P}hist": F.transform(ends, lambda e, k: F.struct(F.get(bins, e).alias("bin"), (e - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("double").alias("n"))),
-        f"{P}accented": _count(t, r"[^\x00-\x7F]").cast("long"),
-        f"{P}upper": _count(t, r"[A-Z]").cast("long"),
-        f"{P}digit": _count(t, r"[0-9]").cast("long"),
-        f"{P}punct": _count(t, r"""[.,;:!?'"()\[\]/_=+@-]""").cast("long"),
-        f"{P}n_chars": F.length(t).cast("long"),
+        f"{P}hist": F.transform(ends, lambda e, k: F.struct(F.array_position(number, F.get(common, e)).cast("int").alias("bin"), (e - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("double").alias("n"))),
     })
+    pos = F.col(f"{P}pos")
+    covered = F.aggregate(F.transform(pos, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(pos, k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     d = d.withColumns({
+        f"{P}n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         f"{P}space": F.col(f"{P}n_chars") - F.col(f"{P}word_chars"),
         f"{P}symbol": F.col(f"{P}n_symbols"),
+    })
+    d = d.withColumns({
         f"{P}failed": (F.col(f"{P}n_words") < MIN_WORDS) | (100 * F.col(f"{P}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{P}n_words")),
+        f"{P}letter": F.greatest(F.lit(0), F.col(f"{P}n_chars") - sum((F.col(f"{P}{c}") for c in CLASSES[1:]), F.lit(0))),
     })
-    rest = sum((F.col(f"{P}{c}") for c in CLASSES[1:]), F.lit(0))
-    d = d.withColumn(f"{P}letter", F.greatest(F.lit(0), F.col(f"{P}n_chars") - rest))
-    return d.drop(*(f"{P}{x}" for x in ("words", "lines", "hashes", "win", "sorted", "pos", "bins", "ends")))
+    return d.drop(*(f"{P}{x}" for x in ("words", "lines", "hashes", "rest", "common", "two", "four", "win", "sorted", "pos", "ends")))
 
 
 def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """By language: the reference over CLASSES, and over BINS with all other words last. All labelled
-    documents that pass the base rules count. At most len(COMMON) rows of fixed length come to the driver."""
+    documents of at least MIN_HIST_WORDS words count. At most len(COMMON) rows of fixed length come to the driver."""
     if "lang" not in feats.columns:
         return {}
-    good = feats.filter(F.col("lang").isin(list(COMMON)) & ~F.col(f"{P}failed"))
+    good = feats.filter(F.col("lang").isin(list(COMMON)) & (F.col(f"{P}n_words") >= MIN_HIST_WORDS))
     sums = good.groupBy("lang").agg(F.sum(f"{P}n_words").alias("words"), *(F.sum(f"{P}{c}").alias(c) for c in CLASSES)).collect()
     hist = good.select("lang", F.explode(f"{P}hist").alias("h")).groupBy("lang", F.col("h.bin").alias("bin")).agg(F.sum("h.n").alias("n")).collect()
     out = {}
@@ -124,11 +140,16 @@ def _char_distance(ref: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), sum((_term(F.col(f"{P}{c}") / n, float(q)) for c, q in zip(CLASSES, ref)), F.lit(0.0)) / 2))
 
 
-def _word_distance(ref: list[float]) -> Column:
-    n = F.greatest(F.col(f"{P}n_words"), F.lit(1)).cast("double")
-    refs = F.from_json(F.lit("[" + ",".join(f"{x:.12f}" for x in ref[:-1]) + "]"), "array<double>")
-    seen = F.aggregate(f"{P}hist", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")),
-                       lambda a, h: F.struct((a["d"] + _term(h["n"] / n, F.get(refs, h["bin"] - 1))).alias("d"), (a["p"] + h["n"] / n).alias("p"), (a["q"] + F.get(refs, h["bin"] - 1)).alias("q")))
+def _seen(ref: list[float]) -> Column:
+    """Over the common words a document has: twice the divergence, and the sums of both shares."""
+    refs = F.expr("array(" + ",".join(f"{max(x, 1e-9):.12f}D" for x in ref[:-1]) + ")")
+    pair = F.transform(f"{P}shares", lambda h: F.struct(h["p"].alias("p"), F.get(refs, h["bin"] - 1).alias("q")))
+    both = lambda x: x["p"] * F.log2(x["p"]) + x["q"] * F.log2(x["q"]) - (x["p"] + x["q"]) * F.log2((x["p"] + x["q"]) / 2)
+    return F.aggregate(pair, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["d"] + both(x)).alias("d"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
+
+
+def _word_distance(lang: str, ref: list[float]) -> Column:
+    seen = F.col(f"{P}seen_{lang}")
     # a bin the document lacks adds the reference's share in full; the last bin holds all other words
     absent = F.greatest(F.lit(0.0), F.lit(float(sum(ref[:-1]))) - seen["q"])
     other = _term(F.greatest(F.lit(0.0), 1 - seen["p"]), float(ref[-1]))
@@ -140,11 +161,16 @@ def verdict(feats: DataFrame, refs: dict) -> DataFrame:
     least = lambda xs: xs[0] if len(xs) == 1 else F.least(*xs)
     none = F.lit(None).cast("double")
     known = F.col("lang").isin(list(refs)) | F.col("lang").isNull() if "lang" in feats.columns else F.lit(True)
+    n = F.greatest(F.col(f"{P}n_words"), F.lit(1)).cast("double")
+    feats = feats.withColumn(f"{P}shares", F.transform(f"{P}hist", lambda h: F.struct(h["bin"].alias("bin"), (h["n"] / n).alias("p"))))
+    feats = feats.withColumns({f"{P}seen_{k}": _seen(w) for k, (_, w) in refs.items()})
     chars = F.when(known, least([_char_distance(c) for c, _ in refs.values()])) if refs else none
-    words = F.when(known, least([_word_distance(w) for _, w in refs.values()])) if refs else none
+    words = F.when(known, least([_word_distance(k, w) for k, (_, w) in refs.items()])) if refs else none
     d = feats.withColumns({f"{P}char_distance": chars, f"{P}word_distance": words})
     far = ((F.col(f"{P}n_chars") >= MIN_CHARS) & (F.col(f"{P}char_distance") > MAX_CHAR_DISTANCE)) | ((F.col(f"{P}n_words") >= MIN_HIST_WORDS) & (F.col(f"{P}word_distance") > MAX_WORD_DISTANCE))
-    return d.withColumn(f"{P}kept", ~F.col(f"{P}failed") & ~F.coalesce(far, F.lit(False)))
+    # always true, but not deterministic to the optimizer: else a filter on this column moves below all steps and repeats them
+    here = F.monotonically_increasing_id() >= 0
+    return d.withColumn(f"{P}kept", ~F.col(f"{P}failed") & ~F.coalesce(far, F.lit(False)) & here)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -159,8 +185,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept. Two passes over the texts, and no join."""
-    narrow = docs.select("text", *(["lang"] if "lang" in docs.columns else []))
-    refs = references(features(narrow).drop("text"))
+    if "lang" in docs.columns:
+        needed = ("n_words", "n_chars", "hist", *CLASSES)
+        refs = references(stash(features(docs.select("text", "lang")).select("lang", *(f"{P}{c}" for c in needed)), "references"))
+    else:
+        refs = {}
     return verdict(features(docs), refs).filter(f"{P}kept").select(*docs.columns)
 
 
