@@ -109,6 +109,7 @@ def drops(docs: DataFrame) -> DataFrame:
     suspects = pairs.mapInArrow(_combine, "hi long, many boolean").repartition("hi").mapInArrow(_suspects, "hi long")
     rows = stash(pairs.join(suspects, "hi", "left_semi"), "suspects")
     owners = rows.groupBy("hi", "lo").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last")
+    owners = stash(owners, "owners")  # so that the join deals both sides anew and may split a line that very many documents hold
     lost = rows.join(owners, ["hi", "lo"]).filter("id > owner")
     return lost.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
