@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose document frequency lies within a band of the corpus: MIN_SHARE of the documents to
 MAX_SHARE. As documents have a mean of d distinct terms, at most d / MIN_SHARE terms reach the band whatever the corpus
-size; that bound, checked by a count, is why the lexicon may be broadcast (beyond MAX_BROADCAST_TERMS it is joined by shuffle).
+size; by a count, a lexicon of up to MAX_LISTED_TERMS goes along as a set of values, and a larger one is joined.
 A document's distinct lexicon terms are sorted, and for each of TIERS * TRIALS random subsets of the lexicon those in the subset are
 hashed in order. Trial i gives a term a hash; the subset of tier r holds terms whose hash ends in r zero bits, a
 2 ** -r of the lexicon. So long and short documents both have tiers whose subsets hold about one of their
@@ -21,7 +21,6 @@ Columns with other names are not read.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stash, table, text_of
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
-MAX_BROADCAST_TERMS = 1_000_000
+MAX_LISTED_TERMS = 50_000
 TIERS, TRIALS = 12, 6
 EMPTY, DIGITS = "----", 4
 #: Documents in a range of the order by doc_id, about.
@@ -46,8 +45,7 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     """(term) within the band; the counts cover all documents."""
     n = docs.count()
     df = docs.select(F.explode(term_hashes(text_of())).alias("term")).groupBy("term").count()
-    lex = stash(df.filter(F.col("count").between(max(2.0, min_share * n), max_share * n)).select("term"), "lexicon")
-    return F.broadcast(lex) if lex.count() <= MAX_BROADCAST_TERMS else lex
+    return stash(df.filter(F.col("count").between(max(2.0, min_share * n), max_share * n)).select("term"), "lexicon")
 
 
 def _field(x: Column) -> Column:
@@ -55,43 +53,47 @@ def _field(x: Column) -> Column:
 
 
 def fingerprint(d: DataFrame, terms: str, text_hash: str, new: str) -> DataFrame:
-    """d with the fingerprint of the sorted distinct lexicon terms in column terms."""
-    trial = [f"{terms}_{i}" for i in range(TRIALS)]
-    t = F.col(terms)
-    hashed = lambda i: F.transform(t, lambda x: F.struct(x.alias("t"), F.xxhash64(x, F.lit(i)).alias("g")))
-    d = d.withColumns({c: hashed(i) for i, c in enumerate(trial)})
-    own = lambda c, r: F.filter(c, lambda x: x["g"].bitwiseAND(F.lit((1 << r) - 1)) == 0)
-    none = _field(F.xxhash64(F.filter(F.col(trial[0]), lambda x: F.lit(False))))  # the field of no term
-    fields = [F.when(F.size(t) == 0, none).otherwise(_field(F.xxhash64(own(c, r)))) for r in range(1, TIERS + 1) for c in trial]
+    """d with the fingerprint of the sorted distinct lexicon terms in column terms. A tier's subset lies in the tier's before it, so
+    each is filtered from that one."""
+    trials, t = [f"{terms}_{i}" for i in range(TRIALS)], F.col(terms)
+    d = d.withColumns({f"{c}_0": F.transform(t, (lambda i: lambda x: F.xxhash64(x, F.lit(i)))(i)) for i, c in enumerate(trials)})
+    for r in range(1, TIERS + 1):
+        d = d.withColumns({f"{c}_{r}": F.filter(f"{c}_{r - 1}", (lambda bit: lambda g: g.bitwiseAND(F.lit(bit)) == 0)(1 << (r - 1))) for c in trials})
+    fields = [F.when(F.size(f"{c}_{r}") == 0, EMPTY).otherwise(_field(F.xxhash64(f"{c}_{r}"))) for r in range(1, TIERS + 1) for c in trials]
     whole = F.when(F.size(t) == 0, _field(F.col(text_hash))).otherwise(_field(F.xxhash64(t)))
-    d = d.withColumn(f"{terms}_all", F.transform(F.array(*fields), lambda x: F.when(x == none, EMPTY).otherwise(x)))
-    return d.withColumn(new, F.concat(F.array_join(f"{terms}_all", ""), whole)).drop(*trial, f"{terms}_all")
+    return d.withColumn(new, F.concat(*fields, whole)).drop(*(f"{c}_{r}" for c in trials for r in range(TIERS + 1)))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(d: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """d with the likeness of two fingerprint columns for each new column of pairs. Each step is a column."""
     n = TIERS * TRIALS
-    fields = lambda x: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(x, i * DIGITS + 1, F.lit(DIGITS)))
-    first = lambda x: F.coalesce(F.nullif(F.array_position(fields(x), EMPTY), F.lit(0)), F.lit(n)).cast("int")
-    start = F.floor((F.least(first(a), first(b)) - 1) / TRIALS).cast("int") * TRIALS
-    both = F.filter(F.slice(F.zip_with(fields(a), fields(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), start + 1, n), lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    share = F.aggregate(both, F.struct(F.lit(0.0).alias("same"), F.lit(0.0).alias("n")), lambda s, p: F.struct((s["same"] + F.when(p["x"] == p["y"], 1.0).otherwise(0.0)).alias("same"), (s["n"] + 1).alias("n")),
-                        lambda s: F.when(s["n"] > 0, s["same"] / F.greatest(s["n"], F.lit(1.0))).otherwise(F.when(F.right(a, F.lit(DIGITS)) == F.right(b, F.lit(DIGITS)), 1.0).otherwise(0.0)))
-    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).otherwise(share)
-
-
-def fingerprints(texts: DataFrame, lex: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """texts (with a unique __f_row) with a fingerprint column for each text column: columns maps text column to new name.
-    Terms meet the lexicon one by one and come together again by row; a task's rows are combined before they are dealt."""
+    names = dict.fromkeys(x for pair in pairs.values() for x in pair)
+    d = d.withColumns({f"__f_c_{x}": F.slice(F.regexp_extract_all(x, F.lit("." * DIGITS), F.lit(0)), F.lit(1), F.lit(n)) for x in names})
+    first = lambda x: F.coalesce(F.nullif(F.array_position(f"__f_c_{x}", EMPTY), F.lit(0)), F.lit(n)).cast("int")
+    start = lambda x, y: F.floor((F.least(first(x), first(y)) - 1) / TRIALS).cast("int") * TRIALS + 1
+    # for each field that counts: true if equal
+    same = lambda x, y: F.filter(F.zip_with(F.slice(f"__f_c_{x}", start(x, y), F.lit(n)), F.slice(f"__f_c_{y}", start(x, y), F.lit(n)), lambda p, q: F.when((p != EMPTY) | (q != EMPTY), p == q)), lambda e: e.isNotNull())
+    d = d.withColumns({f"__f_e_{new}": same(x, y) for new, (x, y) in pairs.items()})
+    def share(new: str, x: str, y: str) -> Column:
+        e, last = F.col(f"__f_e_{new}"), F.when(F.right(x, F.lit(DIGITS)) == F.right(y, F.lit(DIGITS)), 1.0).otherwise(0.0)
+        some = F.size(F.filter(e, lambda z: z)) / F.greatest(F.size(e), F.lit(1))
+        return F.when(F.col(x).isNull() | F.col(y).isNull(), None).when(F.col(x) == F.col(y), 1.0).when(F.size(e) == 0, last).otherwise(some)
+    d = d.withColumns({new: share(new, x, y) for new, (x, y) in pairs.items()})
+    return d.drop(*(f"__f_c_{x}" for x in names), *(f"__f_e_{new}" for new in pairs))
+
+
+def lexicon_terms(d: DataFrame, lex: DataFrame, columns: dict[str, str], key: list[str]) -> DataFrame:
+    """d with the sorted distinct lexicon terms of each text column, under the new names. A lexicon of at most MAX_LISTED_TERMS goes along
+    in the expression as a set; a larger one meets the terms by a join and the rows' key."""
+    if lex.count() <= MAX_LISTED_TERMS:
+        listed = ",".join(f"{r[0]}L" for r in lex.collect() if r[0] > -(1 << 63)) or "0L"
+        d = d.withColumns({new: term_hashes(F.col(c)) for c, new in columns.items()})
+        return d.withColumns({new: F.expr(f"sort_array(filter({new}, t -> t IN ({listed})))") for new in columns.values()})
     sides = F.array(*(F.struct(F.lit(k).alias("side"), term_hashes(F.col(c)).alias("terms")) for k, c in enumerate(columns)))
-    each = texts.select("__f_row", F.explode(sides).alias("x")).select("__f_row", "x.side", F.explode("x.terms").alias("term"))
-    met = each.join(lex, "term").groupBy("__f_row").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("term")))).alias(f"__f_{k}") for k in range(len(columns))))
-    rest = texts.select(*(c for c in texts.columns if c not in columns), *(F.xxhash64(c).alias(f"__f_h{k}") for k, c in enumerate(columns)))
-    d = rest.join(met, "__f_row", "left")
+    each = d.select(*key, F.explode(sides).alias("x")).select(*key, "x.side", F.explode("x.terms").alias("term"))
+    met = each.join(lex, "term").groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("term")))).alias(new) for k, new in enumerate(columns.values())))
     none = F.expr("cast(array() as array<bigint>)")
-    d = d.withColumns({f"__f_{k}": F.coalesce(f"__f_{k}", none) for k in range(len(columns))})
-    for k, new in enumerate(columns.values()):
-        d = fingerprint(d, f"__f_{k}", f"__f_h{k}", new)
-    return d.drop(*(f"__f_{k}" for k in range(len(columns))), *(f"__f_h{k}" for k in range(len(columns))))
+    return d.join(met, key, "left").withColumns({new: F.coalesce(new, none) for new in columns.values()})
 
 
 def ranges(docs: DataFrame) -> Column:
@@ -104,8 +106,9 @@ def ranges(docs: DataFrame) -> Column:
         return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
     size = math.isqrt(len(cuts)) + 1  # two short searches and not one long one
     blocks = [cuts[i:i + size] for i in range(0, len(cuts), size)]
-    tops = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
-    lists = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    listed = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
+    tops = F.expr(listed(b[0] for b in blocks))
+    lists = F.expr("array(" + ",".join(map(listed, blocks)) + ")")
     below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("doc_id")))
     b = below(tops)
     return F.when(F.col("doc_id").isNull(), -1).when(b == 0, 0).otherwise((b - 1) * size + below(F.get(lists, b - 1)))
@@ -113,19 +116,18 @@ def ranges(docs: DataFrame) -> Column:
 
 def with_next(rows: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
     """rows with __f_at, their place in their range, and the value of the next row in descending order of __f_range and order, the first after the last.
-    A range is one window; the first row of each range is found apart and handed to the range before it."""
-    w = Window.partitionBy("__f_range").orderBy(*order)
-    d = rows.withColumns({f"__f_n_{new}": F.lead(c).over(w) for c, new in values.items()} | {"__f_last": F.lead(F.lit(1)).over(w).isNull(), "__f_at": F.row_number().over(w)})
-    heads = rows.withColumn("__f_at", F.row_number().over(w)).filter("__f_at = 1").select("__f_range", *(F.col(c).alias(f"__f_v_{new}") for c, new in values.items()))
-    known = sorted(r[0] for r in heads.select("__f_range").collect())  # a number a range, MAX_RANGES + 1 at most
+    A range is one window; a copy of each range's first row stands at the end of the range before it."""
+    known = sorted((r[0] for r in rows.select("__f_range").distinct().collect()), reverse=True)  # a number a range, MAX_RANGES + 1 at most
     if not known:
-        return d.select(*rows.columns, "__f_at", *(F.col(f"__f_n_{new}").alias(new) for new in values.values()))
-    before = {known[k]: known[(k + 1) % len(known)] for k in range(len(known))}
+        return rows.withColumns({"__f_at": F.lit(0)} | {new: F.col(c) for c, new in values.items()})
+    before = {known[(k + 1) % len(known)]: known[k] for k in range(len(known))}
     take = F.create_map(*(F.lit(x).cast("int") for kv in before.items() for x in kv))
-    heads = heads.select(F.element_at(take, F.col("__f_range").cast("int")).alias("__f_to"), *(f"__f_v_{new}" for new in values.values()))
-    d = d.withColumn("__f_key", F.when(F.col("__f_last"), F.col("__f_range").cast("int")))
-    d = d.join(heads, d["__f_key"] == heads["__f_to"], "left")
-    return d.select(*rows.columns, "__f_at", *(F.when(F.col("__f_last"), F.col(f"__f_v_{new}")).otherwise(F.col(f"__f_n_{new}")).alias(new) for new in values.values()))
+    first = rows.withColumn("__f_at", F.row_number().over(Window.partitionBy("__f_range").orderBy(*order))).filter("__f_at = 1").drop("__f_at")
+    ghosts = first.withColumn("__f_range", F.element_at(take, F.col("__f_range").cast("int"))).withColumn("__f_ghost", F.lit(1))
+    w = Window.partitionBy("__f_range").orderBy("__f_ghost", *order)
+    both = rows.withColumn("__f_range", F.col("__f_range").cast("int")).withColumn("__f_ghost", F.lit(0)).unionByName(ghosts)
+    d = both.withColumns({new: F.lead(c).over(w) for c, new in values.items()} | {"__f_at": F.row_number().over(w)})
+    return d.filter("__f_ghost = 0").drop("__f_ghost")
 
 
 def op6_imatch(spark, sf_dir):
@@ -136,8 +138,10 @@ def op6_imatch(spark, sf_dir):
     m = F.floor(n / 3).cast("int")
     d = with_next(rows, [F.col("doc_id").desc_nulls_last(), F.col("text").desc()], {"text": "next_text"})
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m)))
-    d = d.select("doc_id", "__f_range", F.col("__f_at").alias("__f_place"), "text", "edited", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.monotonically_increasing_id().alias("__f_row"))
-    d = stash(fingerprints(stash(d, "edited"), lex, {"text": "fingerprint", "edited": "edited_fingerprint"}), "fingerprints")
-    d = with_next(d, [F.col("__f_place")], {"fingerprint": "next_fingerprint"})
-    mine = F.col("fingerprint")
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(mine, F.col("edited_fingerprint")).alias("near_edited"), likeness(mine, F.col("next_fingerprint")).alias("near_next"))
+    d = d.select("doc_id", "__f_range", "__f_at", "text", "edited", n.cast("long").alias("n_chars"))
+    d = lexicon_terms(d, lex, {"text": "__f_t", "edited": "__f_e"}, ["__f_range", "__f_at"])
+    d = d.select("doc_id", "__f_range", F.col("__f_at").alias("__f_place"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "__f_t", "__f_e", F.xxhash64("text").alias("__f_ht"), F.xxhash64("edited").alias("__f_he"))
+    d = fingerprint(fingerprint(d, "__f_t", "__f_ht", "fingerprint"), "__f_e", "__f_he", "edited_fingerprint").drop("__f_t", "__f_e", "__f_ht", "__f_he")
+    d = with_next(stash(d, "fingerprints"), [F.col("__f_place")], {"fingerprint": "next_fingerprint"})
+    d = likeness(d, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
