@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ from .common import stash, table
 CAPACITY, END_ID = 2048, 0
 #: Pieces in a group on average; chunks of text whose ids a worker keeps at most.
 GROUP, CACHE = 8192, 1_000_000
+#: Exchanges after which a search that has emptied no further bin ends; tasks that groups are dealt to at most.
+PATIENCE, MAX_TASKS = 100, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, tuple] = {}
 
@@ -39,27 +44,53 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Chunks whose pieces can be cut here as the tokenizer cuts them: ASCII and the letters of Latin-1, without its contractions and special tokens.
+PLAIN = re.compile(r"(?!.*<\|)[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = [chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)]
+
+
 def _tokenizer(path: str):
-    """The tokenizer and the ids it has given, by chunk; kept by each Python worker."""
+    """The tokenizer, and the ids it has given by chunk and by piece of a chunk; kept by each Python worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
+        _loaded[path] = Tokenizer.from_file(path), {}, {}
     return _loaded[path]
 
 
+def _packed(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, the end token last."""
-    tok, known = _tokenizer(path)
-    if len(known) > CACHE:
+    tok, known, by_piece = _tokenizer(path)
+    if len(known) > CACHE or len(by_piece) > CACHE:
         known.clear()
+        by_piece.clear()
+    model = tok.model
     chunks = [(t or "").encode().split() for t in texts]
-    new = [c for c in set().union(*chunks) if c not in known]
-    for i in range(0, len(new), 4096):
-        part = new[i:i + 4096]
-        for c, e in zip(part, tok.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-            known[c] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+    odd = []
+    for c in set().union(*chunks):
+        if c in known:
+            continue
+        text = c.decode()
+        if not PLAIN.fullmatch(text):
+            odd.append(c)
+            continue
+        ids = b""
+        for p in PIECE.findall(text.lower()):
+            if (x := by_piece.get(p)) is None:
+                x = by_piece[p] = _packed([t.id for t in model.tokenize(p if p.isascii() else "".join(ALPHABET[b] for b in p.encode()))])
+            ids += x
+        known[c] = ids
+    if odd:
+        for c, e in zip(odd, tok.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False)):
+            known[c] = _packed(e.ids)
     end, get = END_ID.to_bytes(4, "little"), known.__getitem__
     return [b"".join(map(get, c)) + end for c in chunks]
 
@@ -105,42 +136,50 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Drain the emptiest bins: move a piece, or exchange one or two for one, wherever the sum of squared fills grows most.
     The sum grows strictly and is bounded, so it ends; it stops early at the least number of bins that the lengths allow."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = {k for k, b in enumerate(bins) if b}
-    stuck: set[int] = set()
-    while len(live) > least:
-        todo = [k for k in live if fill[k] < capacity and k not in stuck]
-        if not todo:
+    if not bins:
+        return bins
+    size, home = np.asarray(lengths, np.int64), np.zeros(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        home[b] = k
+    fill = np.bincount(home, weights=size, minlength=len(bins)).astype(np.int64)
+    least, live = -(-int(fill.sum()) // capacity), sum(map(bool, bins))
+    stuck = np.zeros(len(bins), bool)
+    since = 0
+    while live > least and since < PATIENCE:
+        since += 1
+        todo = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(todo):
             break
-        e = min(todo, key=lambda k: (fill[k], k))
-        best = None
+        e = int(todo[np.argmin(fill[todo])])
         own = bins[e]
         out = [(i,) for i in own] + [(i, j) for a, i in enumerate(own) for j in own[a + 1:]][:200]
-        for b in live:
-            room = capacity - fill[b]
-            if b == e or not room:
-                continue
-            for x in out:
-                n = sum(lengths[i] for i in x)
-                for y in [None, *bins[b]] if len(x) == 1 else bins[b]:
-                    gain = n - (lengths[y] if y is not None else 0)
-                    if 0 < gain <= room:
-                        grown = (fill[b] + gain) ** 2 + (fill[e] - gain) ** 2 - fill[b] ** 2 - fill[e] ** 2
-                        if grown > 0 and (best is None or grown > best[0]):
-                            best = grown, b, x, y, gain
-        if best is None:
-            stuck.add(e)
+        open_bins = np.flatnonzero((fill > 0) & (fill < capacity) & (np.arange(len(bins)) != e))
+        back = np.flatnonzero((fill[home] < capacity) & (home != e))  # what may come in exchange
+        best = 0, None
+        for x in out:
+            n = int(size[list(x)].sum())
+            for to, gain, y in ((open_bins, np.full(len(open_bins), n), None), (home[back], n - size[back], back)):
+                if y is None and len(x) > 1:
+                    continue  # two moves do the same
+                # fills f and e become f + gain and e - gain; the sum of squares grows by 2 gain (f - e + gain)
+                grown = np.where((gain > 0) & (fill[to] + gain <= capacity), 2 * gain * (fill[to] - fill[e] + gain), 0)
+                if len(grown) and grown[k := int(np.argmax(grown))] > best[0]:
+                    best = int(grown[k]), (int(to[k]), x, None if y is None else int(y[k]), int(gain[k]))
+        if best[1] is None:
+            stuck[e] = True
             continue
-        _, b, x, y, gain = best
+        b, x, y, gain = best[1]
         bins[e] = [i for i in own if i not in x] + ([y] if y is not None else [])
         bins[b] = [i for i in bins[b] if i != y] + list(x)
+        home[list(x)] = b
+        if y is not None:
+            home[y] = e
         fill[b] += gain
         fill[e] -= gain
         if not bins[e]:
-            live.discard(e)
-        stuck.clear()
-    return [bins[k] for k in sorted(live)]
+            live, since = live - 1, 0
+        stuck[:] = False
+    return [b for b in bins if b]
 
 
 def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -168,7 +207,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # the crc spreads copies of one document as well
     dealt = cut.withColumn("__k_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("__k_group").applyInPandas(one, PIECES + ", sequence_id long, offset long")
+    return dealt.repartition(min(groups, MAX_TASKS), "__k_group").groupBy("__k_group").applyInPandas(one, PIECES + ", sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
