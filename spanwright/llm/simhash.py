@@ -15,7 +15,7 @@ row of it has an id); an empty table gives an empty result. Columns with other n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +34,21 @@ FRONT = 1 << 20
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
+def shingles(text: str | None, words_each: int) -> np.ndarray:
+    """Hashes of the runs of so many lower-cased words, in order; a shorter text is one run, one without words none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= words_each:
+        return np.array([digest(joined, SEED)] if words else [], dtype=np.uint64)
     at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, ends = [0, *at[:-SHINGLE].tolist()], (at[SHINGLE - 1:] - 1).tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
+    starts, ends = [0, *at[:-words_each].tolist()], (at[words_each - 1:] - 1).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    h = shingles(text, SHINGLE)
+    if not len(h):
+        return 0
     planes = h.astype(">u8").view(np.uint8).reshape(-1, 8)
     set_in = np.concatenate([np.bincount(planes[:, i], minlength=256) @ BITS for i in range(8)])
     return int.from_bytes(np.packbits(2 * set_in > len(h)).tobytes(), "big")
@@ -155,9 +160,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return fps.join(named.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their group of near copies (the smallest doc_id), each once. Rows without an id stay."""
-    groups = near_groups(docs.filter("doc_id is not null"))
+def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
+    """The documents that name their group of near copies (the smallest doc_id), each once. Rows without an id stay.
+    groups_of: gives doc_id and component_id of each row."""
+    groups = groups_of(docs.filter("doc_id is not null"))
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanwright.llm import html_density, imatch, language, line_dedup, mixing, packing, pii, quality, sharding, simhash
+from spanwright.llm import html_density, imatch, language, line_dedup, mixing, near_copies, packing, pii, quality, sharding, simhash
 
 SP = " \t\n\x0b\x0c\r"
 LONG = "The same long line here"
@@ -206,6 +206,61 @@ def test_trie_join_links_all(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_copies(any_docs):
+    """Against all pairs; a copy with one word in 80 changed counts, an unlike text does not."""
+    import numpy as np
+
+    words = [f"w{i}" for i in range(80)]
+    edited = [" ".join(words[:k] + ["new"] + words[k + 1:]) for k in (20, 50)]
+    other = " ".join(words[:20] + [f"z{i}" for i in range(60)])
+    spark = any_docs.sparkSession
+    more = spark.createDataFrame([(9001, " ".join(words)), (9002, edited[0]), (9003, edited[1].upper()), (9004, other)], "doc_id long, text string")
+    d = any_docs.unionByName(more, allowMissingColumns=True)
+    rows = [(i, near_copies.shingle_set(t)) for i, t in texts(d)]
+    sets, parent = {x.tobytes(): x for _, x in rows}, {x.tobytes(): x.tobytes() for _, x in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = list(sets)
+    for k, a in enumerate(keys):
+        for b in keys[k + 1:]:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    first = {}
+    for i, x in rows:
+        if i is not None:
+            first[root(x.tobytes())] = min(i, first.get(root(x.tobytes()), i))
+    got = near_copies.near_groups(d).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == sorted((str(i), first.get(root(x.tobytes()))) for i, x in rows)
+    assert {9001, 9004} <= (ids := {r["component_id"] for r in got}) and not {9002, 9003} & ids
+    assert {9002, 9003} <= {r["component_id"] for r in simhash.near_groups(d).collect()}  # the 2-bit rule has them all stay
+
+
+def test_near_copies_beyond_the_hub(spark):
+    """A chain: neighbours are near, ends are not, and the bucket's least node need not be near to all."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([f"v{i}x{k}" if k < 20 * i else w for k, w in enumerate(words)])) for i in range(1, 7)]
+    rows += [(10 + i, " ".join(words[30 * i:300 + 30 * i])) for i in range(4)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[10 + i] for i in range(4)} == {10}
+    sets = {i: set(near_copies.shingle_set(t).tolist()) for i, t in rows}
+    assert all(got[a] == got[b] for a in sets for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def test_near_dedup_stage(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(words[:40] + ["new"] + words[41:]), "en", "a", 1), (3, "quite another text", "en", "a", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, d, "")
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 # 5 -------------------------------------------------------------------------------------------
 def brute_quality(t):
     t = t or ""
