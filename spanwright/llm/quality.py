@@ -3,18 +3,22 @@
 A document's histogram over character classes, and over the common words of some languages, is
 compared with a reference histogram for each language by the Jensen-Shannon distance. The
 references are summed over all labelled documents; a document is rejected when it is far from
-every reference. Short documents are too noisy for that, so each histogram has a least length.
+every reference, where far in words is relative to a document that has no common word at all. Labels
+without listed words get a reference from their own documents, with their most frequent words as
+bins, and are judged by that one alone. Short documents are too noisy for that, so each histogram has a least length.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are
-judged alike; an empty table gives an empty result; a language label without a reference (or a
-corpus without labels) leaves the divergence test out, so only the base rules apply; columns of
+judged alike; an empty table gives an empty result; a language label without a reference (no
+document of it is long enough, or the corpus has no labels) leaves the divergence test out, so only the base rules apply; columns of
 the input with other names are kept as they are.
 """
 
 from __future__ import annotations
 
+import math
+
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stash, table, text_of
@@ -31,8 +35,13 @@ BINS = sorted({w for words in COMMON.values() for w in words})
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A histogram is compared only from so many characters, or words, on.
 MIN_CHARS, MIN_HIST_WORDS = 200, 60
-#: Largest distance (base 2, so 0 to 1) to the nearest reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.62
+#: Largest distance (base 2, so 0 to 1) to the nearest reference of characters.
+MAX_CHAR_DISTANCE = 0.25
+#: Largest distance to the nearest reference of words, as a share of the distance that a document without common words has from it:
+#: common words are a fifth of a text, so that distance is about 0.33 and not near 1.
+MAX_WORD_SHARE = 0.9
+#: Bins of a reference that is learned from a label's own documents.
+OWN_BINS = 40
 CLASSES = ("letter", "accented", "upper", "digit", "space", "punct", "symbol")
 P = "__q_"
 
@@ -104,9 +113,16 @@ def features(docs: DataFrame) -> DataFrame:
         f"{P}failed": (F.col(f"{P}n_words") < MIN_WORDS) | (100 * F.col(f"{P}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{P}n_words")),
         f"{P}letter": F.greatest(F.lit(0), F.col(f"{P}n_chars") - sum((F.col(f"{P}{c}") for c in CLASSES[1:]), F.lit(0))),
     })
+    if "lang" in docs.columns:
+        d = d.withColumn(f"{P}own", F.when(_other() & ~F.col(f"{P}failed") & (F.col(f"{P}n_words") >= MIN_HIST_WORDS), hashes))
     return d.drop(*(f"{P}{x}" for x in ("words", "lines", "hashes", "rest", "common", "two", "four", "win", "sorted", "pos", "ends")))
 
 
+def _other() -> Column:
+    """The label is none of those with listed words."""
+    return ~F.coalesce(F.col("lang").isin(list(COMMON)), F.lit(True))
+
+
 def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """By language: the reference over CLASSES, and over BINS with all other words last. All labelled
     documents of at least MIN_HIST_WORDS words count. At most len(COMMON) rows of fixed length come to the driver."""
@@ -127,6 +143,22 @@ def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
+def own_references(feats: DataFrame) -> DataFrame | None:
+    """(lang, __q_ref_chars, __q_ref_words) for each label without listed words that has documents long enough: shares of CLASSES,
+    and the most frequent words' hashes with their shares. None if there is no such label."""
+    if "lang" not in feats.columns:
+        return None
+    good = feats.filter(F.col(f"{P}own").isNotNull())
+    if good.isEmpty():
+        return None
+    total = sum((F.sum(f"{P}{c}") for c in CLASSES), F.lit(0))
+    sums = good.groupBy("lang").agg(F.array(*(F.sum(f"{P}{c}") / total for c in CLASSES)).alias(f"{P}ref_chars"), F.sum(f"{P}n_words").alias("n"))
+    counts = good.select("lang", F.explode(f"{P}own").alias("h")).groupBy("lang", "h").agg(F.count("*").alias("c"))
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "h"))).filter(F.col("k") <= OWN_BINS)
+    words = top.join(sums.select("lang", "n"), "lang").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("h", (F.col("c") / F.col("n")).alias("q")))).alias(f"{P}ref_words"))
+    return stash(sums.drop("n").join(words, "lang"), "own-references")
+
+
 def _term(p: Column, q: float | Column) -> Column:
     """A bin's share of twice the Jensen-Shannon divergence, in bits."""
     q = F.lit(q) if isinstance(q, float) else q
@@ -156,18 +188,53 @@ def _word_distance(lang: str, ref: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), (seen["d"] + absent + other) / 2))
 
 
-def verdict(feats: DataFrame, refs: dict) -> DataFrame:
-    """feats with __q_char_distance, __q_word_distance (to the nearest reference; null without one) and __q_kept."""
+def _bare(ref: list[float]) -> float:
+    """The word distance of a document without common words."""
+    common, other = sum(ref[:-1]), ref[-1]
+    m = (1 + other) / 2
+    return math.sqrt(max(0.0, common + math.log2(1 / m) + (other * math.log2(other / m) if other > 0 else 0.0)) / 2) if common > 0 else 0.0
+
+
+def _nearest(feats: DataFrame, refs: dict) -> DataFrame:
+    """feats with the distances to the nearest reference, and the least share of a document without common words."""
     least = lambda xs: xs[0] if len(xs) == 1 else F.least(*xs)
     none = F.lit(None).cast("double")
-    known = F.col("lang").isin(list(refs)) | F.col("lang").isNull() if "lang" in feats.columns else F.lit(True)
     n = F.greatest(F.col(f"{P}n_words"), F.lit(1)).cast("double")
     feats = feats.withColumn(f"{P}shares", F.transform(f"{P}hist", lambda h: F.struct(h["bin"].alias("bin"), (h["n"] / n).alias("p"))))
     feats = feats.withColumns({f"{P}seen_{k}": _seen(w) for k, (_, w) in refs.items()})
+    known = F.col("lang").isin(list(refs)) | F.col("lang").isNull() if "lang" in feats.columns else F.lit(True)
     chars = F.when(known, least([_char_distance(c) for c, _ in refs.values()])) if refs else none
-    words = F.when(known, least([_word_distance(k, w) for k, (_, w) in refs.items()])) if refs else none
-    d = feats.withColumns({f"{P}char_distance": chars, f"{P}word_distance": words})
-    far = ((F.col(f"{P}n_chars") >= MIN_CHARS) & (F.col(f"{P}char_distance") > MAX_CHAR_DISTANCE)) | ((F.col(f"{P}n_words") >= MIN_HIST_WORDS) & (F.col(f"{P}word_distance") > MAX_WORD_DISTANCE))
+    feats = feats.withColumns({f"{P}far_{k}": _word_distance(k, w) for k, (_, w) in refs.items()})
+    words = F.when(known, least([F.col(f"{P}far_{k}") for k in refs])) if refs else none
+    bare = {k: x for k, (_, w) in refs.items() if (x := _bare(w)) > 0}
+    share = F.when(known, least([F.col(f"{P}far_{k}") / x for k, x in bare.items()])) if bare else none
+    return feats.withColumns({f"{P}char_distance": chars, f"{P}word_distance": words, f"{P}word_share": share})
+
+
+def _to_own(feats: DataFrame, own: DataFrame) -> DataFrame:
+    """The same columns as _nearest, by the reference of a row's own label."""
+    d = feats.join(own, "lang", "left")
+    chars = F.greatest(F.col(f"{P}n_chars"), F.lit(1))
+    far = sum((_term(F.col(f"{P}{c}") / chars, F.get(f"{P}ref_chars", F.lit(i))) for i, c in enumerate(CLASSES)), F.lit(0.0))
+    shares = F.expr(f"transform({P}ref_words, w -> named_struct('p', size(filter({P}own, h -> h = w.h)) / double({P}n_words), 'q', w.q))")
+    d = d.withColumn(f"{P}pairs", F.when(F.col(f"{P}own").isNotNull(), shares))
+    total = lambda of: F.aggregate(F.transform(f"{P}pairs", of), F.lit(0.0), lambda a, x: a + x)
+    d = d.withColumns({f"{P}sum_p": total(lambda x: x["p"]), f"{P}sum_q": total(lambda x: x["q"]), f"{P}sum_d": total(lambda x: _term(x["p"], x["q"]))})
+    rest = lambda c: F.greatest(F.lit(0.0), 1 - F.col(c))
+    root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x / 2))
+    word = root(F.col(f"{P}sum_d") + _term(rest(f"{P}sum_p"), rest(f"{P}sum_q")))
+    bare = root(F.col(f"{P}sum_q") + _term(F.lit(1.0), rest(f"{P}sum_q")))
+    d = d.withColumns({f"{P}char_distance": F.when(F.col(f"{P}ref_chars").isNotNull(), root(far)), f"{P}word_distance": word, f"{P}word_share": F.when(bare > 0, word / bare)})
+    return d.drop(*(f"{P}{x}" for x in ("ref_chars", "ref_words", "pairs", "sum_p", "sum_q", "sum_d")))
+
+
+def verdict(feats: DataFrame, refs: dict, own: DataFrame | None = None) -> DataFrame:
+    """feats with __q_char_distance, __q_word_distance (to the nearest reference; null without one) and __q_kept."""
+    if own is None:
+        d = _nearest(feats, refs)
+    else:
+        d = _nearest(feats.filter(~_other()), refs).unionByName(_to_own(feats.filter(_other()), own), allowMissingColumns=True)
+    far = ((F.col(f"{P}n_chars") >= MIN_CHARS) & (F.col(f"{P}char_distance") > MAX_CHAR_DISTANCE)) | ((F.col(f"{P}n_words") >= MIN_HIST_WORDS) & (F.col(f"{P}word_share") > MAX_WORD_SHARE))
     # always true, but not deterministic to the optimizer: else a filter on this column moves below all steps and repeats them
     here = F.monotonically_increasing_id() >= 0
     return d.withColumn(f"{P}kept", ~F.col(f"{P}failed") & ~F.coalesce(far, F.lit(False)) & here)
@@ -177,20 +244,20 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """docs with their measures and verdict (columns n_words ... kept, distances); one pass over the texts."""
     own = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
     feats = stash(features(own).drop("text"), "quality")
-    out = verdict(feats, references(feats))
+    out = verdict(feats, references(feats), own_references(feats))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *(F.col(f"{P}{n}").alias(n) for n in names), F.col(f"{P}failed").alias("base_failed"), F.col(f"{P}kept").alias("kept"),
                       F.round(f"{P}char_distance", 6).alias("char_distance"), F.round(f"{P}word_distance", 6).alias("word_distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept. Two passes over the texts, and no join."""
+    """The rows of docs that are kept. Two passes over the texts; only rows of labels without listed words are joined, to their references."""
+    refs, own = {}, None
     if "lang" in docs.columns:
-        needed = ("n_words", "n_chars", "hist", *CLASSES)
-        refs = references(stash(features(docs.select("text", "lang")).select("lang", *(f"{P}{c}" for c in needed)), "references"))
-    else:
-        refs = {}
-    return verdict(features(docs), refs).filter(f"{P}kept").select(*docs.columns)
+        needed = ("n_words", "n_chars", "hist", "own", *CLASSES)
+        first = stash(features(docs.select("text", "lang")).select("lang", *(f"{P}{c}" for c in needed)), "references")
+        refs, own = references(first), own_references(first)
+    return verdict(features(docs), refs, own).filter(f"{P}kept").select(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir):

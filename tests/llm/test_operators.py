@@ -290,6 +290,22 @@ def test_quality_verdict(real, spark):
     assert not got[10**6]["kept"] and not got[10**6 + 1]["kept"]
 
 
+def test_quality_words_judge(real, spark):
+    """A long text of plain words, none of them common, is far; so it is for a label that only its own documents describe."""
+    import random
+
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choice("abdefgiklmnoprstu") for _ in range(rnd.randrange(4, 9))) for _ in range(400)]
+    function = [f"{a}{b}" for a in "qxzwj" for b in "aeiou"]
+    plain = lambda: " ".join(rnd.choice(vocabulary) for _ in range(300)) + "."
+    own = lambda: " ".join(rnd.choice(function if rnd.random() < 0.3 else vocabulary) for _ in range(300)) + "."
+    odd = [(10**6, plain(), "en"), (10**6 + 1, plain(), None), (10**6 + 2, plain(), "zz"), (10**6 + 3, "".join(f"#{i}$$ %%{i}& **| " for i in range(200)), "zz"), *((2 * 10**6 + i, own(), "zz") for i in range(40))]
+    d = real.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(d).collect()}
+    assert not any(got[10**6 + i] for i in range(4)) and all(got[2 * 10**6 + i] for i in range(40))
+    assert {r["doc_id"] for r in quality.keep_good(d).collect()} == {i for i, kept in got.items() if kept}
+
+
 # 6 -------------------------------------------------------------------------------------------
 def test_imatch(spark, sf_dir, tmp_path, real, docs):
     both = docs.select("doc_id", "text").union(real.select(F.col("doc_id") + 1000, "text"))
