@@ -2,7 +2,7 @@
 
 A document's histogram over character classes, and over the common words of some languages, is
 compared with a reference histogram for each language by the Jensen-Shannon distance. The
-references are summed over all labelled documents; a document is rejected when it is far from
+references are summed over all labelled documents that pass the base rules; a document is rejected when it is far from
 every reference, where far in words is relative to a document that has no common word at all. Labels
 without listed words get a reference from their own documents, with their most frequent words as
 bins, and are judged by that one alone. Short documents are too noisy for that, so each histogram has a least length.
@@ -69,6 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumns({
         f"{P}lines": lines,
         f"{P}hashes": F.transform(f"{P}words", lambda w: F.xxhash64(w)),
+        f"{P}lowered": F.transform(f"{P}words", lambda w: F.xxhash64(F.lower(w))),  # for the histogram only
         f"{P}word_chars": F.length(F.array_join(f"{P}words", "")).cast("long"),
         f"{P}rest": F.regexp_replace(t, r"[a-z\x20]+", ""),  # what the counts of classes look at
         f"{P}n_chars": F.length(t).cast("long"),
@@ -79,7 +80,7 @@ def features(docs: DataFrame) -> DataFrame:
         f"{P}n_words": F.size(hashes).cast("long"),
         f"{P}n_symbols": count(r"[#*$%&|<>]"),
         f"{P}n_dup_lines": (F.size(f"{P}lines") - F.size(F.array_distinct(f"{P}lines"))).cast("long"),
-        f"{P}common": F.sort_array(F.expr(f"filter({P}hashes, h -> h IN ({','.join(f'{h}L' for h in BIN_OF)}))")),
+        f"{P}common": F.sort_array(F.expr(f"filter({P}lowered, h -> h IN ({','.join(f'{h}L' for h in BIN_OF)}))")),
         f"{P}two": F.when(F.size(hashes) >= WINDOW, _paired(hashes, 1)),
         f"{P}accented": count(r"[^\x00-\x7F]"),
         f"{P}upper": count(r"[A-Z]"),
@@ -114,8 +115,8 @@ def features(docs: DataFrame) -> DataFrame:
         f"{P}letter": F.greatest(F.lit(0), F.col(f"{P}n_chars") - sum((F.col(f"{P}{c}") for c in CLASSES[1:]), F.lit(0))),
     })
     if "lang" in docs.columns:
-        d = d.withColumn(f"{P}own", F.when(_other() & ~F.col(f"{P}failed") & (F.col(f"{P}n_words") >= MIN_HIST_WORDS), hashes))
-    return d.drop(*(f"{P}{x}" for x in ("words", "lines", "hashes", "rest", "common", "two", "four", "win", "sorted", "pos", "ends")))
+        d = d.withColumn(f"{P}own", F.when(_other() & ~F.col(f"{P}failed") & (F.col(f"{P}n_words") >= MIN_HIST_WORDS), F.col(f"{P}lowered")))
+    return d.drop(*(f"{P}{x}" for x in ("words", "lines", "hashes", "lowered", "rest", "common", "two", "four", "win", "sorted", "pos", "ends")))
 
 
 def _other() -> Column:
@@ -125,10 +126,10 @@ def _other() -> Column:
 
 def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """By language: the reference over CLASSES, and over BINS with all other words last. All labelled
-    documents of at least MIN_HIST_WORDS words count. At most len(COMMON) rows of fixed length come to the driver."""
+    documents that pass the base rules count. At most len(COMMON) rows of fixed length come to the driver."""
     if "lang" not in feats.columns:
         return {}
-    good = feats.filter(F.col("lang").isin(list(COMMON)) & (F.col(f"{P}n_words") >= MIN_HIST_WORDS))
+    good = feats.filter(F.col("lang").isin(list(COMMON)) & ~F.col(f"{P}failed"))
     sums = good.groupBy("lang").agg(F.sum(f"{P}n_words").alias("words"), *(F.sum(f"{P}{c}").alias(c) for c in CLASSES)).collect()
     hist = good.select("lang", F.explode(f"{P}hist").alias("h")).groupBy("lang", F.col("h.bin").alias("bin")).agg(F.sum("h.n").alias("n")).collect()
     out = {}
@@ -254,7 +255,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept. Two passes over the texts; only rows of labels without listed words are joined, to their references."""
     refs, own = {}, None
     if "lang" in docs.columns:
-        needed = ("n_words", "n_chars", "hist", "own", *CLASSES)
+        needed = ("n_words", "n_chars", "failed", "hist", "own", *CLASSES)
         first = stash(features(docs.select("text", "lang")).select("lang", *(f"{P}{c}" for c in needed)), "references")
         refs, own = references(first), own_references(first)
     return verdict(features(docs), refs, own).filter(f"{P}kept").select(*docs.columns)

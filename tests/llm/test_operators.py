@@ -306,6 +306,16 @@ def test_quality_words_judge(real, spark):
     assert {r["doc_id"] for r in quality.keep_good(d).collect()} == {i for i, kept in got.items() if kept}
 
 
+def test_quality_references(real, spark):
+    """Repetitive junk is no part of a reference, and common words count in any case."""
+    d = real.select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10**6 + i, "zq! " * 300, "en") for i in range(100)], "doc_id long, text string, lang string")
+    refs = [quality.references(quality.stash(quality.features(x).drop("text"), "features")) for x in (d, d.union(junk))]
+    assert refs[0] == refs[1] and refs[0]
+    case = lambda f: {r["doc_id"]: r["word_distance"] for r in quality.quality_rules(d.filter("lang = 'en'").union(d.filter("lang = 'de'").select("doc_id", f("text"), "lang"))).collect()}
+    assert case(F.upper) == case(F.lower)
+
+
 # 6 -------------------------------------------------------------------------------------------
 def test_imatch(spark, sf_dir, tmp_path, real, docs):
     both = docs.select("doc_id", "text").union(real.select(F.col("doc_id") + 1000, "text"))
