@@ -425,7 +425,7 @@ def test_viterbi_is_the_best_path():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    m = language.Model(["a", "b", "c"], rng.normal(size=(3, language.BUCKETS)).astype(np.float32), np.zeros((3, len(language.SCRIPTS)), bool))
+    m = language.Model(["a", "b", "c"], np.vstack([rng.normal(size=(language.BUCKETS, 3)), np.zeros((1, 3))]).astype(np.float32), np.zeros((3, len(language.SCRIPTS)), bool))
     docs = [["one", "two", "three", "four"], [], ["five"], ["two", "one", "six"]]
     for words, path in zip(docs, m.label(docs)):
         value = lambda p, words=words: sum(m.scores[m.known[w], k] for w, k in zip(words, p)) - language.PENALTY * sum(x != y for x, y in zip(p, p[1:]))
@@ -433,6 +433,39 @@ def test_viterbi_is_the_best_path():
         assert abs(value(path.tolist()) - best) < 1e-4
 
 
+def test_word_scores_sum_their_grams(monkeypatch):
+    """Each word's row is the sum over its n-grams and itself, whatever words are scored along with it, and with a cache that never lasts."""
+    import numpy as np
+
+    words = ["a", "éa", "aaaa", "straße", "мир", "x" * 40, "ab", "ba"]
+    found = [sorted(int(g) for gs in language.Words([w]).grams() for g in gs if g < language.BUCKETS) for w in words]
+    assert [len(g) for g in found] == [1 + sum(max(0, len(w) + 2 - n + 1) for n in range(1, language.LONGEST + 1)) for w in words]
+    assert found[-1] != found[-2]
+    together = [sorted(x) for x in zip(*(gs.tolist() for gs in language.Words(words).grams()))]
+    assert len(together) == sum(len(w) + 2 for w in words)
+    weights = np.vstack([np.random.default_rng(1).normal(size=(language.BUCKETS, 2)), np.zeros((1, 2))]).astype(np.float32)
+    m = language.Model(["p", "q"], weights, np.zeros((2, len(language.SCRIPTS)), bool))
+    want = np.array([weights[g].sum(axis=0) for g in found]) * (2.0 / language.LONGEST)
+    want -= want.max(axis=1, keepdims=True)
+    assert np.allclose(m.score(words), want, atol=1e-3)
+    once = m.predict([words, words[:2]])
+    monkeypatch.setattr(language, "CACHE", 0)
+    assert m.predict([words, words[:2]]) == once == [*m.predict([words]), *m.predict([words[:2]])]
+
+
+def test_language_learns_every_label(spark):
+    import random
+
+    rnd = random.Random(9)
+    kinds = {f"l{k:03d}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(230)}
+    rows = [(i * 230 + k, " ".join(rnd.choice(kinds[x]) for _ in range(25)), x) for i in range(4) for k, x in enumerate(sorted(kinds))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    assert len(model.langs) == 230
+    got = language.predict(d, model).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+
+
 # 10 ------------------------------------------------------------------------------------------
 def test_sharding(any_docs):
     rows = texts(any_docs)
