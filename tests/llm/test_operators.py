@@ -116,11 +116,90 @@ def test_html_link_lists_lose():
     assert html_density.main_text(page) == f"{ARTICLE}\n{ARTICLE}"
 
 
+def test_html_density_decides():
+    """Of two blocks without names the denser one is the article, whatever tags say; teasers in article elements lose."""
+    teasers = "".join(f"<article><a href=/{i}>Read more about item {i}</a><p>Now {i}</p></article>" for i in range(9))
+    short = "".join(f"<p>Buy {i} now</p>" for i in range(6))
+    for other in (teasers, short):
+        page = f"<body><div>{other}</div><div><h1>Title</h1><p>{ARTICLE}</p><p>Yes.</p><p>{ARTICLE}</p></div></body>"
+        assert html_density.main_text(page) == f"Title\n{ARTICLE}\nYes.\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><div class='post-header'><h1>Title</h1></div><p>{a}</p></article>", "Title\n{a}"),
+    ("<article><header><h1>Title</h1></header><p>{a}</p><div class='related-work'><h2>Related work</h2><p>{a}</p></div></article>", "Title\n{a}\nRelated work\n{a}"),
+    ("<article><h1>T</h1><section><h2>A</h2><p>{a}</p><p>{a}</p></section><section><h2>B</h2><p>{a}</p></section><section><p>End.</p></section></article>", "T\nA\n{a}\n{a}\nB\n{a}\nEnd."),
+    ("<h1>Title</h1><div class=content><p>{a}</p><p>{a}</p></div><div class='site-footer'>f</div>", "Title\n{a}\n{a}"),
+    ("<div class='layout has-sidebar'><p>{a}</p><p>{a}</p></div><div class='cookie-banner'>We use cookies</div>", "{a}\n{a}"),
+    ("<form id=aspnet><article><p>{a}</p></article></form><div class='ad-slot'><p>{a}</p></div>", "{a}"),
+    ("<div class=comments><p>{a}</p></div>", "{a}"),
+    ("<head><title>x</title><meta a=b><body><p>{a}</p>", "{a}"),
+    ("<head><title>x</title><p>{a}</p>", "{a}"),
+    ("<p>{a} <b>1 < 2</b> & <3 <i class='x>y'>z</i></p>", "{a} 1 < 2 & <3 z"),
+    ("<p>{a}</p><p title='open>rest {a}</p>", "{a}\nrest {a}"),
+])
+def test_html_keeps_the_article(page, text):
+    assert html_density.main_text(page.format(a=ARTICLE)) == text.format(a=ARTICLE)
+
+
+def test_html_measures_like_brute_force():
+    """Characters, tags, densities and sums of every node of random pages, each counted anew from the page's own tree."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+
+    def page(depth):
+        tag = rnd.choice(["div", "a", "span", "section"])
+        return f"<{tag}>" + "".join(rnd.choice(["text ", "x", page(depth - 1) if depth else "end"]) for _ in range(rnd.randrange(1, 5))) + f"</{tag}>"
+
+    def below(n):
+        return [x for k in n.kids if not isinstance(k, str) for x in (k, *below(k))]
+
+    def chars(n):
+        return sum(len(" ".join(k.split())) if isinstance(k, str) else chars(k) for k in n.kids)
+
+    def link_chars(n):
+        return chars(n) if n.tag == "a" else sum(link_chars(k) for k in n.kids if not isinstance(k, str))
+
+    for _ in range(40):
+        root = html_density.parse("".join(page(3) for _ in range(4)))
+        html_density._measure(root)
+
+        def density(n):
+            c, t, lc, lt = chars(n), max(1, len(below(n))), max(1, link_chars(n)), max(1, sum(x.tag == "a" for x in below(n)))
+            if not c:
+                return 0.0
+            base = math.e + c / max(1, c - link_chars(n)) * lc + link_chars(root) / chars(root) * c
+            return c / t * max(0.0, math.log(c * t / lc / lt)) / math.log(math.log(base))
+
+        for n in [root, *below(root)]:
+            assert (n.chars, n.tags, n.link_chars) == (chars(n), len(below(n)), link_chars(n))
+            assert math.isclose(n.density, density(n)) and math.isclose(n.sum, sum(density(k) for k in n.kids if not isinstance(k, str)))
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    cases = [lambda n: "<a " * n, lambda n: '<a "' * n, lambda n: "<!" * n, lambda n: "<div>" * n + "x", lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "</p>" * n]
+    for f in cases:
+        began = time.process_time()
+        html_density.main_text(f(60_000))
+        assert time.process_time() - began < 10, f(2)
+
+
 def test_html_frame(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = html_density.extract(pages).collect()
     assert len(got) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_density.extract(pages.limit(0)).count() == 0
+    # repeated rows and clashing names; the article is what stands between its tags
+    twice = pages.union(pages).withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
+    again = html_density.extract(twice).collect()
+    assert Counter((r["page_id"], r["text"]) for r in again) == Counter({(r["page_id"], r["text"]): 2 for r in got})
+    plain = lambda h: " ".join(html_density.html.unescape(re.sub(r"<[^>]*>", " ", h[h.index("<article>"):h.index("</article>")])).split())
+    want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+    assert all(" ".join(r["text"].split()) == want[r["page_id"]] for r in got)
 
 
 # 3 -------------------------------------------------------------------------------------------
