@@ -1,18 +1,24 @@
 """Line dedup with two Bloom filters.
 
-Each document's distinct line keys become pairs (doc_id, 64-bit hash, 64-bit second hash). The hashes
-are dealt out by value; each partition fills a filter of hashes seen once and a filter of hashes seen
-twice, and passes on only what the second holds. Only those suspected repeats are then shuffled and
-confirmed on the full 128-bit digest (at 10^12 different lines the chance of one false match is about
-1e-15), which also finds the first document. A false positive of a filter costs a row in that shuffle
-and nothing else.
+Each document's distinct line keys become pairs (doc_id, 128-bit digest in two halves), written once. Each task that reads them fills
+two filters of its own, of hashes seen once and of hashes seen twice, in which a hash sets two bits, and hands both on in SEGMENTS
+compressed parts. Parts are merged in a tree, by segment and a salt and then by segment: a bit is in the merged filter of twice-seen hashes if it
+is in one of those, or in the filters of once-seen hashes of two. That filter goes to all tasks, which read the pairs
+again and let only its hits, the suspected repeats, shuffle. They are confirmed on the full digest (at 10^12 different
+lines the chance of one false match is about 1e-15), which also finds the first document. A false positive costs a row in that
+shuffle and nothing else.
 
-Before dealing, each map task passes on a hash once, with a mark if two documents hold it, so a line in a third of
-all documents arrives as one row a task and not one a document.
+The filter has 8 to 16 bits for each pair, a number that is counted first, which leaves 1 to 5 % of unrepeated lines as
+suspects, and 2 ** MOST_BITS at most (128 MB, the bound of what is broadcast), enough for 130 million pairs. Beyond that it fills up: of half a billion 40 % are
+suspects, and with very many all shuffle (24 bytes a line), so the work stays in proportion to the corpus.
+
+A line in a third of all documents sets the same bits again and again, and its suspects are combined before they shuffle; the join that tells its
+documents is on a written table, so that it may be split.
 
 Defined cases: null and empty texts are one empty line; keys under 10 code points stay; rows with the
 same doc_id are one document for counting, each row losing the same lines; a null doc_id neither causes nor
-suffers a drop; an empty table gives an empty result.
+suffers a drop; a very long text is read whole; an empty table gives an empty result. Other columns are kept; names that start with __l_ are
+taken by this operator.
 """
 
 from __future__ import annotations
@@ -22,14 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, table
 
 MIN_KEY, SPACE = 10, b" \t\n\x0b\x0c\r"
-#: Bits of each filter of each partition, as a power of two. More hashes only mean more suspects.
-FILTER_BITS = 23
+#: Bits of a filter as powers of two, at least and at most; parts that a filter is handed on in; salts of the first step of a merge.
+LEAST_BITS, MOST_BITS, SEGMENTS, SALTS = 14, 30, 64, 32
+#: Rows of a batch whose bits are set at once.
+ROWS = 1 << 20
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -59,55 +68,126 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["id", "hi", "lo"])
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hi, many): once for each hash and batch; many if the batch has it under two ids."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, hi = b.column(0).to_numpy(), b.column(1).to_numpy()
-        order = np.lexsort((ids, hi))
-        ids, hi = ids[order], hi[order]
-        first = np.flatnonzero(np.r_[True, hi[1:] != hi[:-1]])
-        last = np.r_[first[1:], len(hi)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(ids[first] != ids[last])], ["hi", "many"])
+def filter_bits(pairs: int) -> int:
+    """The power of two of a filter's bits: 8 to 16 for each pair."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * pairs).bit_length()))
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
-    u = h.view(np.uint64)
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    a, b = u & mask, (u >> np.uint64(FILTER_BITS)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) & mask).astype(np.int64) for i in range(4)]
+def _places(hi: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash, from different parts of it."""
+    u = hi.view(np.uint64)
+    return (u >> np.uint64(64 - bits)).astype(np.int64), (u & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes that the filter of those seen twice holds. A partition keeps its hashes (8 bytes each) for the second look."""
-    once, twice, kept = np.zeros(1 << FILTER_BITS, np.bool_), np.zeros(1 << FILTER_BITS, np.bool_), []
-    for b in batches:
-        hi, many = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-        order = np.argsort(hi, kind="stable")
-        hi, many = hi[order], many[order]
-        if not len(hi):
-            continue
+class Filters:
+    """Bits of hashes seen once at least and twice at least. Bits are held by segment, each made when a hash first falls into it."""
+
+    def __init__(self, bits: int):
+        self.bits, self.width = bits, bits - SEGMENTS.bit_length() + 1
+        self.once: dict[int, np.ndarray] = {}
+        self.twice: dict[int, np.ndarray] = {}
+
+    def _or(self, where: dict[int, np.ndarray], at: np.ndarray) -> None:
+        segment = at >> self.width
+        cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(at) else [0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if (part := where.get(k := int(segment[a]))) is None:
+                part = where[k] = np.zeros(1 << (self.width - 3), np.uint8)
+            x = at[a:b] & ((1 << self.width) - 1)
+            byte, first = np.unique(x >> 3, return_index=True)
+            part[byte] |= np.bitwise_or.reduceat(np.uint8(1) << (x & 7).astype(np.uint8), first)
+
+    def _has(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), bool)
+        segment = at >> self.width
+        cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(at) else [0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if (part := self.once.get(int(segment[a]))) is not None:
+                x = at[a:b] & ((1 << self.width) - 1)
+                out[a:b] = part[x >> 3] >> (x & 7).astype(np.uint8) & 1
+        return out
+
+    def add(self, ids: np.ndarray, hi: np.ndarray) -> None:
+        """Hashes of pairs: twice seen if this filter has the bit from before, or two documents of these hold the hash."""
+        order = np.lexsort((ids, hi))
+        ids, hi = ids[order], hi[order]
         first = np.flatnonzero(np.r_[True, hi[1:] != hi[:-1]])
-        seen = np.logical_or.reduceat(many, first) | (np.diff(np.r_[first, len(hi)]) > 1)
-        hi = hi[first]
-        at = _places(hi)
-        seen |= np.logical_and.reduce([once[p] for p in at])
-        for p in at:
-            once[p] = True
-            twice[p[seen]] = True
-        kept.append(hi)
-    if kept:
-        hi = np.unique(np.concatenate(kept))
-        hi = hi[np.logical_and.reduce([twice[p] for p in _places(hi)])]
-        yield pa.RecordBatch.from_arrays([pa.array(hi)], ["hi"])
+        last = np.r_[first[1:], len(hi)] - 1
+        many, hi = ids[first] != ids[last], hi[first]
+        for at in _places(hi, self.bits):
+            order = np.argsort(at, kind="stable")
+            at, again = at[order], many[order]
+            again = again | self._has(at) | np.r_[False, at[1:] == at[:-1]]
+            self._or(self.once, at)
+            self._or(self.twice, at[again])
+
+    def merge(self, segment: int, once: bytes | None, twice: bytes | None) -> None:
+        size = 1 << (self.width - 3)
+        read = lambda x: np.frombuffer(zstandard.decompress(x), np.uint8) if x else np.zeros(size, np.uint8)
+        o, t = read(once), read(twice)
+        if segment not in self.once:
+            self.once[segment], self.twice[segment] = o.copy(), t.copy()
+            return
+        self.twice[segment] |= t | (self.once[segment] & o)
+        self.once[segment] |= o
+
+    def parts(self) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        segments = sorted(self.once)
+        return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array([pack(self.once[k].tobytes()) for k in segments], pa.binary()),
+                                           pa.array([pack(self.twice[k].tobytes()) if k in self.twice else None for k in segments], pa.binary())], ["segment", "once", "twice"])
+
+
+PARTS = "segment int, once binary, twice binary"
+
+
+def twice_filter(pairs: DataFrame, bits: int) -> list[bytes | None]:
+    """By segment, the bits of hashes seen twice at least. A task holds two filters and hands on their parts."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filters(bits)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                f.add(b.column(0)[lo:lo + ROWS].to_numpy(), b.column(1)[lo:lo + ROWS].to_numpy())
+        yield f.parts()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filters(bits)
+        for b in batches:
+            for segment, once, twice in zip(*(c.to_pylist() for c in (b.column("segment"), b.column("once"), b.column("twice")))):
+                f.merge(segment, once, twice)
+        yield f.parts()
+
+    parts = pairs.select("id", "hi").mapInArrow(fill, PARTS)
+    salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    some = salted.repartition(SEGMENTS * SALTS // 8, "segment", "salt").select("segment", "once", "twice").mapInArrow(merge, PARTS)
+    whole = some.repartition(SEGMENTS // 4, "segment").mapInArrow(merge, PARTS).select("segment", "twice")
+    out: list[bytes | None] = [None] * SEGMENTS
+    for r in whole.collect():  # SEGMENTS rows, 2 ** MOST_BITS bits at most in all
+        out[r["segment"]] = bytes(r["twice"]) if r["twice"] is not None else None
+    return out
+
+
+def suspects(pairs: DataFrame) -> DataFrame:
+    """The pairs whose hash the filter of those seen twice holds."""
+    bits = filter_bits(pairs.count())
+    shared = pairs.sparkSession.sparkContext.broadcast(twice_filter(pairs, bits))
+    width = bits - SEGMENTS.bit_length() + 1
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << (width - 3)
+        bitmap = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) if x else np.zeros(size, np.uint8) for x in shared.value])
+        for b in batches:
+            hits = np.logical_and.reduce([bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _places(b.column("hi").to_numpy(), bits)]) if b.num_rows else np.zeros(0, bool)
+            yield b.filter(pa.array(hits.astype(bool)))
+
+    return pairs.mapInArrow(pick, pairs.schema)
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """(id, gone): by document, the digests of the lines it loses, as an array of (hi, lo)."""
     pairs = stash(docs.select("doc_id", "text").mapInArrow(_pairs, "id long, hi long, lo long"), "lines")
-    suspects = pairs.mapInArrow(_combine, "hi long, many boolean").repartition("hi").mapInArrow(_suspects, "hi long")
-    rows = stash(pairs.join(suspects, "hi", "left_semi"), "suspects")
+    rows = stash(suspects(pairs), "suspects")
     owners = rows.groupBy("hi", "lo").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last")
     owners = stash(owners, "owners")  # so that the join deals both sides anew and may split a line that very many documents hold
     lost = rows.join(owners, ["hi", "lo"]).filter("id > owner")

@@ -297,6 +297,22 @@ def test_line_dedup(any_docs):
     assert line_dedup.without_repeats(any_docs).columns == any_docs.columns
 
 
+def test_filters_miss_no_repeat(spark, monkeypatch):
+    """Whatever way pairs are dealt to tasks, each hash of two documents is a suspect, and few others are, unless the filter is full."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    alone, shared = rng.integers(-(1 << 62), 1 << 62, 20_000), rng.integers(-(1 << 62), 1 << 62, 500)
+    rows = [(i % 900, int(h), 0) for i, h in enumerate(alone)] + [(int(i), int(h), 0) for h in shared for i in rng.choice(900, 2, replace=False)] + [(i, 77, 0) for i in range(900)] + [(5, 78, 0)] * 3
+    rng.shuffle(rows)
+    d = spark.createDataFrame([tuple(map(int, r)) for r in rows], "id long, hi long, lo long").repartition(7)
+    got = Counter((r["id"], r["hi"]) for r in line_dedup.suspects(d).collect())
+    want = {(int(i), int(h)) for i, h, _ in rows if h in {77, *shared.tolist()}}
+    assert want <= set(got) and len(set(got) - want) < 0.1 * len(alone)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 14)
+    assert want <= {(r["id"], r["hi"]) for r in line_dedup.suspects(d).collect()}
+
+
 # 4 -------------------------------------------------------------------------------------------
 def brute_fp(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
