@@ -3,12 +3,13 @@
 Texts become token ids word by word: the tokenizer never joins across ASCII white space, so the ids of each
 different chunk between white space are kept in a dictionary and a text's ids are theirs in turn. Documents longer
 than a sequence are cut; only lengths then travel. Pieces are dealt by hash into groups of about GROUP
-pieces, each packed on its own: best fit by descending length, then local search that moves a piece, or exchanges one or two
-for one, between underfull bins whenever the sum of squared fills grows, so that the emptiest bins drain. A group can waste
+pieces, each packed on its own: a first fill by best fit in the order of the pieces' digests, then local search that moves a piece, or exchanges
+one or two for one, between underfull bins whenever the sum of squared fills grows, so that the emptiest bins drain. A group can waste
 less than one bin beyond its bound, of some thousand.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed each; rows with a null doc_id are packed like
-others; an empty table gives an empty result; ties are broken by doc_id and piece.
+others; a very long text is cut into whole sequences and a rest; an empty table gives an empty result; ties are broken by digest, doc_id and piece.
+Only doc_id and text are read, so other columns' names do not matter.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from .common import stash, table
 CAPACITY, END_ID = 2048, 0
 #: Pieces in a group on average; chunks of text whose ids a worker keeps at most.
 GROUP, CACHE = 8192, 1_000_000
-#: Exchanges after which a search that has emptied no further bin ends; tasks that groups are dealt to at most.
+#: Exchanges that a search makes without emptying a bin, beside one for each underfull bin; tasks that groups are dealt to at most.
 PATIENCE, MAX_TASKS = 100, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, tuple] = {}
@@ -111,12 +112,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indices: each piece, longest first, goes where it leaves least room."""
+def best_fit(lengths: list[int], capacity: int, order: Iterable[int] | None = None) -> list[list[int]]:
+    """Bins of indices: each piece, in the order given or longest first, goes where it leaves least room."""
     bins: list[list[int]] = []
     by_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0  # bit r: some bin has room r
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]) if order is None else order:
         n = lengths[i]
         if fit := rooms >> n:
             room = n + (fit & -fit).bit_length() - 1
@@ -135,9 +136,11 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Drain the emptiest bins: move a piece, or exchange one or two for one, wherever the sum of squared fills grows most.
-    The sum grows strictly and is bounded, so it ends; it stops early at the least number of bins that the lengths allow."""
+    The sum grows strictly and is bounded, so it ends: at the least number of bins that the lengths allow, when nothing makes it grow,
+    or after PATIENCE exchanges that emptied no bin, and one more for each underfull bin."""
     if not bins:
         return bins
+    bins = [list(b) for b in bins]
     size, home = np.asarray(lengths, np.int64), np.zeros(len(lengths), np.int64)
     for k, b in enumerate(bins):
         home[b] = k
@@ -145,26 +148,31 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     least, live = -(-int(fill.sum()) // capacity), sum(map(bool, bins))
     stuck = np.zeros(len(bins), bool)
     since = 0
-    while live > least and since < PATIENCE:
-        since += 1
-        todo = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
-        if not len(todo):
+    while live > least:
+        under = (fill > 0) & (fill < capacity)
+        todo = np.flatnonzero(under & ~stuck)
+        if not len(todo) or since > PATIENCE + np.count_nonzero(under):
             break
+        since += 1
         e = int(todo[np.argmin(fill[todo])])
         own = bins[e]
-        out = [(i,) for i in own] + [(i, j) for a, i in enumerate(own) for j in own[a + 1:]][:200]
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity) & (np.arange(len(bins)) != e))
-        back = np.flatnonzero((fill[home] < capacity) & (home != e))  # what may come in exchange
+        ones = {int(size[i]): (i,) for i in own}
+        twos = {int(size[i] + size[j]): (i, j) for a, i in enumerate(own) for j in own[a + 1:]}
+        under[e] = False
+        open_bins, back = np.flatnonzero(under), np.flatnonzero(under[home])  # where a piece may go, and what may come for it
+        rooms, given = fill[open_bins], (size[back], fill[home[back]])
         best = 0, None
-        for x in out:
-            n = int(size[list(x)].sum())
-            for to, gain, y in ((open_bins, np.full(len(open_bins), n), None), (home[back], n - size[back], back)):
-                if y is None and len(x) > 1:
-                    continue  # two moves do the same
-                # fills f and e become f + gain and e - gain; the sum of squares grows by 2 gain (f - e + gain)
-                grown = np.where((gain > 0) & (fill[to] + gain <= capacity), 2 * gain * (fill[to] - fill[e] + gain), 0)
-                if len(grown) and grown[k := int(np.argmax(grown))] > best[0]:
-                    best = int(grown[k]), (int(to[k]), x, None if y is None else int(y[k]), int(gain[k]))
+        for n, x in [*ones.items(), *((n, x) for n, x in twos.items() if n not in ones)]:
+            # fills f and e become f + gain and e - gain; the sum of squares grows by 2 gain (f - e + gain)
+            if len(x) == 1 and len(rooms):  # of two moves each is one
+                grown = np.where(rooms + n <= capacity, n * (rooms - fill[e] + n), 0)
+                if grown[k := int(np.argmax(grown))] > best[0]:
+                    best = int(grown[k]), (int(open_bins[k]), x, None, n)
+            if len(back):
+                gain = n - given[0]
+                grown = np.where((gain > 0) & (given[1] + gain <= capacity), gain * (given[1] - fill[e] + gain), 0)
+                if grown[k := int(np.argmax(grown))] > best[0]:
+                    best = int(grown[k]), (int(home[back[k]]), x, int(back[k]), int(gain[k]))
         if best[1] is None:
             stuck[e] = True
             continue
@@ -182,15 +190,22 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return [b for b in bins if b]
 
 
-def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(bin, offset) of each piece."""
+def pack_group(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int]], tuple[int, int, int]]:
+    """(bin, offset) of each piece, and the numbers of bins before the search, after it, and that the lengths allow at least.
+    The search starts from best fit in the order of the pieces; where it ends above the least number, it is tried from
+    best fit by descending length as well, and the better packing is taken."""
+    least = -(-sum(lengths) // capacity)
+    first = best_fit(lengths, capacity, range(len(lengths)))
+    bins = local_search(first, lengths, capacity)
+    if len(bins) > least:
+        bins = min(bins, local_search(best_fit(lengths, capacity), lengths, capacity), key=len)
     out: list = [None] * len(lengths)
-    for k, b in enumerate(local_search(best_fit(lengths, capacity), lengths, capacity)):
+    for k, b in enumerate(bins):
         at = 0
         for i in b:
             out[i] = k, at
             at += lengths[i]
-    return out
+    return out, (len(first), len(bins), least)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -199,8 +214,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = max(1, math.ceil(cut.count() / GROUP))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        placed = pack_group(pdf["length"].tolist(), capacity)
+        pdf = pdf.sort_values(["ids_crc32", "doc_id", "piece", "length"], kind="stable").reset_index(drop=True)  # no order of lengths
+        placed, _ = pack_group(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = [int(g) * (1 << 32) + k for g, (k, _) in zip(pdf["__k_group"], placed)]
         pdf["offset"] = [at for _, at in placed]
         return pdf.drop(columns="__k_group").astype({"doc_id": "Int64"})

@@ -556,6 +556,41 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(8)) and all(sum(lengths[i] for i in b) <= 10 for b in bins)
 
 
+def test_search_against_the_optimum():
+    """Small groups: seldom more bins than the fewest that exist, found by trying all; large ones: the search empties bins of the first fill."""
+    import random
+
+    def fewest(lengths, capacity):
+        best = len(lengths)
+
+        def put(k, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if k == len(lengths):
+                best = len(rooms)
+                return
+            for i, r in enumerate(rooms):
+                if r >= lengths[k] and r not in rooms[:i]:
+                    put(k + 1, [*rooms[:i], r - lengths[k], *rooms[i + 1:]])
+            put(k + 1, [*rooms, capacity - lengths[k]])
+
+        put(0, [])
+        return best
+
+    rnd = random.Random(8)
+    over = []
+    for _ in range(60):
+        lengths = [rnd.randrange(2, 14) for _ in range(9)]
+        placed, (_, after, _) = packing.pack_group(lengths, 20)
+        assert len({b for b, _ in placed}) == after
+        over.append(after - fewest(sorted(lengths, reverse=True), 20))
+    assert min(over) >= 0 and max(over) <= 1 and sum(over) <= 3
+    for lo, hi, most in ((200, 1200, 1.005), (400, 1000, 1.015)):
+        _, (before, after, least) = packing.pack_group([rnd.randrange(lo, hi) for _ in range(3000)])
+        assert after < before and after <= most * least
+
+
 # 8 -------------------------------------------------------------------------------------------
 def test_mixing(any_docs):
     got = mixing.poisson_mix(any_docs)
