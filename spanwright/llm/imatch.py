@@ -15,7 +15,7 @@ two has an empty field (fuller tiers only say that something differs); without s
 
 Defined cases: a null text is an empty one; texts without a lexicon term are told apart by their whole text; equal texts have
 equal fingerprints; rows with the same doc_id follow each other by text and are handled each; rows with a null doc_id come last
-in the descending order; of one row alone the next document is itself; an empty table gives an empty result.
+in the descending order; of one row alone the next document is itself; a very long text is read whole; an empty table gives an empty result.
 Columns with other names are not read.
 """
 
@@ -33,7 +33,7 @@ MAX_LISTED_TERMS = 50_000
 TIERS, TRIALS = 12, 6
 EMPTY, DIGITS = "----", 4
 #: Documents in a range of the order by doc_id, about.
-RANGE_ROWS, MAX_RANGES = 2_000, 50_000
+RANGE_ROWS, MAX_RANGES = 2_000, 20_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -86,9 +86,9 @@ def lexicon_terms(d: DataFrame, lex: DataFrame, columns: dict[str, str], key: li
     """d with the sorted distinct lexicon terms of each text column, under the new names. A lexicon of at most MAX_LISTED_TERMS goes along
     in the expression as a set; a larger one meets the terms by a join and the rows' key."""
     if lex.count() <= MAX_LISTED_TERMS:
-        listed = ",".join(f"{r[0]}L" for r in lex.collect() if r[0] > -(1 << 63)) or "0L"
+        listed = ",".join(f"{r[0]}L" if r[0] > -(1 << 63) else f"{r[0] + 1}L - 1" for r in lex.collect())
         d = d.withColumns({new: term_hashes(F.col(c)) for c, new in columns.items()})
-        return d.withColumns({new: F.expr(f"sort_array(filter({new}, t -> t IN ({listed})))") for new in columns.values()})
+        return d.withColumns({new: F.expr(f"sort_array(filter({new}, t -> t IN ({listed})))" if listed else "cast(array() as array<bigint>)") for new in columns.values()})
     sides = F.array(*(F.struct(F.lit(k).alias("side"), term_hashes(F.col(c)).alias("terms")) for k, c in enumerate(columns)))
     each = d.select(*key, F.explode(sides).alias("x")).select(*key, "x.side", F.explode("x.terms").alias("term"))
     met = each.join(lex, "term").groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("term")))).alias(new) for k, new in enumerate(columns.values())))
@@ -97,35 +97,33 @@ def lexicon_terms(d: DataFrame, lex: DataFrame, columns: dict[str, str], key: li
 
 
 def ranges(docs: DataFrame) -> Column:
-    """A number for doc_id's range, from quantiles of all ids: ranges order the documents, rows of an id share one."""
+    """A number for doc_id's range, from quantiles of all ids: ranges order the documents, rows of an id share one. -1 is for null ids; then
+    0, which may be empty, and 1 and up, each of which holds the id it starts with. The bounds go along as two strings, MAX_RANGES numbers at most."""
     n = docs.count()
     parts = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    array = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
+    cuts = docs.agg(F.percentile_approx("doc_id", array([k / parts for k in range(1, parts)], "double"), 20 * parts)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
     if not cuts:
         return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
     size = math.isqrt(len(cuts)) + 1  # two short searches and not one long one
-    blocks = [cuts[i:i + size] for i in range(0, len(cuts), size)]
-    listed = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    tops = F.expr(listed(b[0] for b in blocks))
-    lists = F.expr("array(" + ",".join(map(listed, blocks)) + ")")
     below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("doc_id")))
-    b = below(tops)
-    return F.when(F.col("doc_id").isNull(), -1).when(b == 0, 0).otherwise((b - 1) * size + below(F.get(lists, b - 1)))
+    b = below(array(cuts[::size], "bigint"))
+    return F.when(F.col("doc_id").isNull(), -1).when(b == 0, 0).otherwise((b - 1) * size + below(F.slice(array(cuts, "bigint"), (b - 1) * size + 1, F.lit(size))))
 
 
 def with_next(rows: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
     """rows with __f_at, their place in their range, and the value of the next row in descending order of __f_range and order, the first after the last.
     A range is one window; a copy of each range's first row stands at the end of the range before it."""
-    known = sorted((r[0] for r in rows.select("__f_range").distinct().collect()), reverse=True)  # a number a range, MAX_RANGES + 1 at most
-    if not known:
+    r = F.col("__f_range").cast("int")
+    known = rows.agg(F.min(r).alias("low"), F.max(r).alias("high"), F.count_if(r == 0).alias("zeros")).first()
+    if known["high"] is None:
         return rows.withColumns({"__f_at": F.lit(0)} | {new: F.col(c) for c, new in values.items()})
-    before = {known[(k + 1) % len(known)]: known[k] for k in range(len(known))}
-    take = F.create_map(*(F.lit(x).cast("int") for kv in before.items() for x in kv))
+    before = F.when(r == known["high"], known["low"]).when(r == -1, 0 if known["zeros"] else 1).otherwise(r + 1)
     first = rows.withColumn("__f_at", F.row_number().over(Window.partitionBy("__f_range").orderBy(*order))).filter("__f_at = 1").drop("__f_at")
-    ghosts = first.withColumn("__f_range", F.element_at(take, F.col("__f_range").cast("int"))).withColumn("__f_ghost", F.lit(1))
+    ghosts = first.withColumn("__f_range", before).withColumn("__f_ghost", F.lit(1))
     w = Window.partitionBy("__f_range").orderBy("__f_ghost", *order)
-    both = rows.withColumn("__f_range", F.col("__f_range").cast("int")).withColumn("__f_ghost", F.lit(0)).unionByName(ghosts)
+    both = rows.withColumn("__f_range", r).withColumn("__f_ghost", F.lit(0)).unionByName(ghosts)
     d = both.withColumns({new: F.lead(c).over(w) for c, new in values.items()} | {"__f_at": F.row_number().over(w)})
     return d.filter("__f_ghost = 0").drop("__f_ghost")
 
