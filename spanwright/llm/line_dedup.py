@@ -222,10 +222,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines removed; n_chars, if there, is brought up to date."""
-    d = line_dedup(docs).withColumn("text", F.col("__l_kept"))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    d = line_dedup(docs.select("doc_id", "text", F.struct(*others).alias("row")))
+    new = {"text": F.col("__l_kept"), "n_chars": F.length("__l_kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None}
+    return d.select(*(new[c].alias(c) if new.get(c) is not None else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark, sf_dir):

@@ -5,7 +5,7 @@ count by inverting the distribution at a uniform number from a hash of its id an
 every run and machine. Documents are exploded by that count and shuffled globally by a hash of id and copy.
 
 Defined cases: a null source is a source of its own; a null doc_id draws as the text 'null'; rows with the same id
-draw the same count; a null or empty text is a row like any other; a target for a source that has no rows does nothing, a source without a given
+draw the same count; a null, empty or very long text is a row like any other; a target for a source that has no rows does nothing, a source without a given
 target gets none; an empty table gives an empty result. Columns with other names are kept.
 """
 
@@ -57,12 +57,13 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, budget
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return poisson_mix(docs).select(*docs.columns)
+    return poisson_mix(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return poisson_mix(docs).select("doc_id", "source", F.col(f"{P}copies").alias("copies"), F.col(f"{P}copy").alias("copy"), F.col(f"{P}key").alias("shuffle_key"))
+    """Whole documents, replicated and shuffled; of the text that arrives, its digest and length."""
+    mix = poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return mix.select("doc_id", "source", "lang", F.col(f"{P}copies").alias("copies"), F.col(f"{P}copy").alias("copy"), F.col(f"{P}key").alias("shuffle_key"), F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
 
 
 ORACLE = f"""
@@ -70,8 +71,8 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, pow(n::DOUBLE, {TEMPERATURE}) / (SELECT sum(pow(n::DOUBLE, {TEMPERATURE})) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
 p AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS pmf FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 21)::BIGINT)) AS k FROM r)),
 c AS (SELECT source, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-d AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0 AS u, row_number() OVER () AS pos FROM documents),
-e AS (SELECT d.pos, d.doc_id, d.source, count(*) FILTER (WHERE cdf <= u) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
-SELECT doc_id, source, copies, copy, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || copy || ':{SEED}') AS shuffle_key
+d AS (SELECT doc_id, source, lang, text, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0 AS u, row_number() OVER () AS pos FROM documents),
+e AS (SELECT d.pos, d.doc_id, d.source, d.lang, d.text, count(*) FILTER (WHERE cdf <= u) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, lang, copies, copy, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || copy || ':{SEED}') AS shuffle_key, md5(text) AS text_md5, length(text) AS text_chars
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM e)
 """

@@ -5,10 +5,10 @@ compared with a reference histogram for each language by the Jensen-Shannon dist
 references are summed over all labelled documents that pass the base rules; a document is rejected when it is far from
 every reference, where far in words is relative to a document that has no common word at all. Labels
 without listed words get a reference from their own documents, with their most frequent words as
-bins, and are judged by that one alone. Short documents are too noisy for that, so each histogram has a least length.
+bins, and are judged by that one alone. Words count in any case and without punctuation at their ends. Short documents are too noisy for that, so each histogram has a least length.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are
-judged alike; an empty table gives an empty result; a language label without a reference (no
+judged alike, and one at a threshold stays; a very long text is read whole; an empty table gives an empty result; a language label without a reference (no
 document of it is long enough, or the corpus has no labels) leaves the divergence test out, so only the base rules apply; columns of
 the input with other names are kept as they are.
 """
@@ -42,6 +42,8 @@ MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_SHARE = 0.9
 #: Bins of a reference that is learned from a label's own documents.
 OWN_BINS = 40
+#: Punctuation that may stand at a word's ends.
+EDGES = ".,;:!?\"'()[]\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u2026"
 CLASSES = ("letter", "accented", "upper", "digit", "space", "punct", "symbol")
 P = "__q_"
 
@@ -69,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumns({
         f"{P}lines": lines,
         f"{P}hashes": F.transform(f"{P}words", lambda w: F.xxhash64(w)),
-        f"{P}lowered": F.transform(f"{P}words", lambda w: F.xxhash64(F.lower(w))),  # for the histogram only
+        f"{P}lowered": F.transform(f"{P}words", lambda w: F.xxhash64(F.btrim(F.lower(w), F.lit(EDGES)))),  # for the histogram only
         f"{P}word_chars": F.length(F.array_join(f"{P}words", "")).cast("long"),
         f"{P}rest": F.regexp_replace(t, r"[a-z\x20]+", ""),  # what the counts of classes look at
         f"{P}n_chars": F.length(t).cast("long"),
@@ -252,13 +254,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept. Two passes over the texts; only rows of labels without listed words are joined, to their references."""
-    refs, own = {}, None
-    if "lang" in docs.columns:
-        needed = ("n_words", "n_chars", "failed", "hist", "own", *CLASSES)
-        first = stash(features(docs.select("text", "lang")).select("lang", *(f"{P}{c}" for c in needed)), "references")
-        refs, own = references(first), own_references(first)
-    return verdict(features(docs), refs, own).filter(f"{P}kept").select(*docs.columns)
+    """The rows of docs that are kept. One pass over the texts, whose measures are written beside the whole rows; only rows of labels
+    without listed words are joined, to their references."""
+    d = docs.select("text", *(["lang"] if "lang" in docs.columns else []), F.struct(*docs.columns).alias(f"{P}row"))
+    feats = stash(features(d).drop("text"), "quality")
+    return verdict(feats, references(feats), own_references(feats)).filter(f"{P}kept").select(f"{P}row.*")
 
 
 def op5_quality_rules(spark, sf_dir):
