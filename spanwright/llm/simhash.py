@@ -10,7 +10,8 @@ large-star and small-star steps, each written to the shared folder.
 
 Defined cases: a text without words (or null, or empty) has fingerprint zero and is linked like any other; fewer than three words are one shingle;
 repeated rows have one fingerprint; rows with a null doc_id link like others but never name a component (null if no
-row of it has an id); an empty table gives an empty result. Columns with other names are not touched.
+row of it has an id); ties of a bit, set in just half the shingles, give 0; a very long text is read whole; an empty table gives an
+empty result. Columns with other names are not touched.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import stash, table
 SHINGLE, BUDGET, SEED = 3, 2, 42
 #: (lowest bit, width) of the blocks that two close fingerprints share one of at least.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Pairs of nodes walked down at once; more wait on a stack.
-FRONT = 1 << 20
+#: Pairs of nodes walked down at once; more wait on a stack. Dealt fingerprints in a partition, about.
+FRONT, DEALT = 1 << 20, 1 << 20
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -147,7 +148,8 @@ def _block(fp: Column, low: int, width: int) -> Column:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect whatever fingerprints are within the budget."""
     keyed = distinct.select("fp", F.posexplode(F.array(*(_block(F.col("fp"), *x) for x in BLOCKS))).alias("block", "at"))
-    return keyed.repartition("block", "at").select("block", "fp").mapInArrow(_links, "a long, b long")
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(BLOCKS) * distinct.count() // DEALT)
+    return keyed.repartition(parts, "block", "at").select("block", "fp").mapInArrow(_links, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -161,12 +163,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
-    """The documents that name their group of near copies (the smallest doc_id), each once. Rows without an id stay.
-    groups_of: gives doc_id and component_id of each row."""
+    """The documents that name their group of near copies (the smallest doc_id), each once: of rows that share an id the least,
+    column by column. Rows without an id stay. groups_of: gives doc_id and component_id of each row."""
     groups = groups_of(docs.filter("doc_id is not null"))
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    orderable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    kept = kept.groupBy("doc_id").agg(F.min_by("row", F.struct(*(F.col("row").getField(c) for c in orderable))).alias("row"))
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def op4_simhash(spark, sf_dir):
