@@ -10,7 +10,7 @@ counts of the ranges before.
 
 Defined cases: a null text is an empty one (size 16, crc 0); repeated rows are in one group and have a slot each; a null doc_id
 is dealt like others; ties are broken by item and by doc_id; fewer groups than shards leave shards empty; an empty table
-gives an empty result. Columns with other names are not read.
+gives an empty result; a very long text is one row of its size. Columns with other names are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     small = F.broadcast(placed.filter(F.length("item") < 32).select(F.col("item").alias("b"), F.col("shard").alias("common")))
     ranges = max(1, total["n"] // (shards * RANGE_ROWS))
     d = rows.join(large, "g", "left").withColumn("b", _bundle(F.col("g"))).join(small, "b", "left").withColumn("shard", F.coalesce("own", "common"))
-    d = d.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
+    d = d.withColumn("range", F.pmod(F.xxhash64("doc_id", "g"), F.lit(ranges)))
     counts = d.groupBy("shard", "range").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).drop("n")
     d = d.withColumn("at", F.row_number().over(Window.partitionBy("shard", "range").orderBy("doc_id", "g")) - 1)
