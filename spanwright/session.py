@@ -39,9 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a session names none (tests on one machine), a temporary folder is made and set."""
+    """spark.checkpoint.dir; where a session on one machine names none, a temporary folder is made and set. On a cluster the setting is needed:
+    a temporary folder there would be another one on each executor."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spanwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
