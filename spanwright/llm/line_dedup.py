@@ -2,7 +2,7 @@
 
 Each document's distinct line keys become pairs (doc_id, 128-bit digest in two halves), written once. Each task that reads them fills
 two filters of its own, of hashes seen once and of hashes seen twice, in which a hash sets two bits, and hands both on in SEGMENTS
-compressed parts. Parts are merged in a tree, by segment and a salt and then by segment: a bit is in the merged filter of twice-seen hashes if it
+compressed parts. Parts are merged in a tree, by segment and salt and then, if there are salts, by segment: a bit is in the merged filter of twice-seen hashes if it
 is in one of those, or in the filters of once-seen hashes of two. That filter goes to all tasks, which read the pairs
 again and let only its hits, the suspected repeats, shuffle. They are confirmed on the full digest (at 10^12 different
 lines the chance of one false match is about 1e-15), which also finds the first document. A false positive costs a row in that
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 MIN_KEY, SPACE = 10, b" \t\n\x0b\x0c\r"
-#: Bits of a filter as powers of two, at least and at most; parts that a filter is handed on in; salts of the first step of a merge.
-LEAST_BITS, MOST_BITS, SEGMENTS, SALTS = 14, 30, 64, 32
+#: Bits of a filter as powers of two, at least and at most; parts that a filter is handed on in.
+LEAST_BITS, MOST_BITS, SEGMENTS = 14, 30, 64
+#: Pairs whose bits a task of the first step of a merge takes, about; salts of a segment at most.
+MERGED, MOST_SALTS = 1 << 22, 64
 #: Rows of a batch whose bits are set at once.
 ROWS = 1 << 20
 
@@ -141,7 +143,7 @@ class Filters:
 PARTS = "segment int, once binary, twice binary"
 
 
-def twice_filter(pairs: DataFrame, bits: int) -> list[bytes | None]:
+def twice_filter(pairs: DataFrame, n: int, bits: int) -> list[bytes | None]:
     """By segment, the bits of hashes seen twice at least. A task holds two filters and hands on their parts."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +160,11 @@ def twice_filter(pairs: DataFrame, bits: int) -> list[bytes | None]:
                 f.merge(segment, once, twice)
         yield f.parts()
 
-    parts = pairs.select("id", "hi").mapInArrow(fill, PARTS)
-    salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    some = salted.repartition(SEGMENTS * SALTS // 8, "segment", "salt").select("segment", "once", "twice").mapInArrow(merge, PARTS)
-    whole = some.repartition(SEGMENTS // 4, "segment").mapInArrow(merge, PARTS).select("segment", "twice")
+    tasks = -(-n // MERGED)
+    salts = min(MOST_SALTS, -(-tasks // SEGMENTS))
+    parts = pairs.select("id", "hi").mapInArrow(fill, PARTS).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    some = parts.repartition(max(8, min(tasks, SEGMENTS * salts)), "segment", "salt").select("segment", "once", "twice").mapInArrow(merge, PARTS)
+    whole = (some.repartition(SEGMENTS // 4, "segment").mapInArrow(merge, PARTS) if salts > 1 else some).select("segment", "twice")
     out: list[bytes | None] = [None] * SEGMENTS
     for r in whole.collect():  # SEGMENTS rows, 2 ** MOST_BITS bits at most in all
         out[r["segment"]] = bytes(r["twice"]) if r["twice"] is not None else None
@@ -170,8 +173,9 @@ def twice_filter(pairs: DataFrame, bits: int) -> list[bytes | None]:
 
 def suspects(pairs: DataFrame) -> DataFrame:
     """The pairs whose hash the filter of those seen twice holds."""
-    bits = filter_bits(pairs.count())
-    shared = pairs.sparkSession.sparkContext.broadcast(twice_filter(pairs, bits))
+    n = pairs.count()
+    bits = filter_bits(n)
+    shared = pairs.sparkSession.sparkContext.broadcast(twice_filter(pairs, n, bits))
     width = bits - SEGMENTS.bit_length() + 1
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,6 +309,8 @@ def test_filters_miss_no_repeat(spark, monkeypatch):
     got = Counter((r["id"], r["hi"]) for r in line_dedup.suspects(d).collect())
     want = {(int(i), int(h)) for i, h, _ in rows if h in {77, *shared.tolist()}}
     assert want <= set(got) and len(set(got) - want) < 0.1 * len(alone)
+    monkeypatch.setattr(line_dedup, "MERGED", 200)  # salts, and a second step
+    assert Counter((r["id"], r["hi"]) for r in line_dedup.suspects(d).collect()) == got
     monkeypatch.setattr(line_dedup, "MOST_BITS", 14)
     assert want <= {(r["id"], r["hi"]) for r in line_dedup.suspects(d).collect()}
 
