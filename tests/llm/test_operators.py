@@ -486,7 +486,106 @@ def test_quality_references(real, spark):
     assert case(F.upper) == case(F.lower)
 
 
+def test_quality_distances(real, docs):
+    """Both distances and the verdict of every document with listed words or no label, counted anew."""
+    import math
+
+    d = real.select("doc_id", "text", "lang").union(docs.filter("doc_id is not null and lang in ('en', 'fr')").select(F.col("doc_id") + 10**6, "text", "lang")).union(real.limit(20).select(F.col("doc_id") + 2 * 10**6, "text", F.lit(None).cast("string")))
+    rows = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in d.collect()}
+    listed = set(quality.BINS)
+
+    def measures(t):
+        w, n_symbols, *_ = brute_quality(t)[0], brute_quality(t)[2]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        count = lambda p: len(re.findall(p, t))
+        c = {"accented": count(r"[^\x00-\x7F]"), "upper": count("[A-Z]"), "digit": count("[0-9]"), "space": len(t) - sum(map(len, words)), "punct": count(r"""[.,;:!?'"()\[\]/_=+@-]"""), "symbol": n_symbols}
+        c["letter"] = max(0, len(t) - sum(c.values()))
+        return w, [c[k] for k in quality.CLASSES], Counter(x for x in (y.lower().strip(quality.EDGES) for y in words) if x in listed)
+
+    got = {i: measures(t) for i, (t, _) in rows.items()}
+    failed = {i: brute_quality(t)[5] for i, (t, _) in rows.items()}
+    refs = {}
+    for lang in quality.COMMON:
+        own = [got[i] for i, (_, x) in rows.items() if x == lang and not failed[i]]
+        if not own:
+            continue
+        chars, n = [sum(c[k] for _, c, _ in own) for k in range(len(quality.CLASSES))], sum(w for w, *_ in own)
+        words = sum((h for *_, h in own), Counter())
+        refs[lang] = [c / sum(chars) for c in chars], [words[b] / n for b in quality.BINS]
+
+    def distance(p, q):
+        part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+    rest = lambda x: [*x, 1 - sum(x)]
+    for r in quality.quality_rules(d).collect():
+        (t, lang), (w, c, h) = rows[r["doc_id"]], got[r["doc_id"]]
+        chars = [distance([x / max(1, len(t)) for x in c], q) for q, _ in refs.values()]
+        far = [distance(rest([h[b] / max(1, w) for b in quality.BINS]), rest(q)) for _, q in refs.values()]
+        share = min(x / distance(rest([0.0] * len(q)), rest(q)) for x, (_, q) in zip(far, refs.values()))
+        assert lang in refs or lang is None
+        assert abs(r["char_distance"] - min(chars)) < 1e-4 and abs(r["word_distance"] - min(far)) < 1e-3
+        is_far = len(t) >= quality.MIN_CHARS and min(chars) > quality.MAX_CHAR_DISTANCE or w >= quality.MIN_HIST_WORDS and share > quality.MAX_WORD_SHARE
+        assert r["kept"] == (not failed[r["doc_id"]] and not is_far) or abs(min(chars) - quality.MAX_CHAR_DISTANCE) < 1e-4 or abs(share - quality.MAX_WORD_SHARE) < 1e-3
+
+
 # 6 -------------------------------------------------------------------------------------------
+def brute_imatch(rows):
+    """(fingerprint, edited fingerprint, likeness to it, likeness to the next) for rows in their order: terms, tiers and fields made anew."""
+    import struct
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    unsigned = lambda x: x & (1 << 64) - 1
+    number = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), unsigned(seed))
+    term = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    terms = lambda t: {term(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())}
+    df = Counter(x for _, t in rows for x in terms(t))
+    lex = {x for x, n in df.items() if max(2.0, imatch.MIN_SHARE * len(rows)) <= n <= imatch.MAX_SHARE * len(rows)}
+
+    def fold(xs):
+        h = 42
+        for x in xs:
+            h = number(x, h)
+        return f"{h:016x}"[:4]
+
+    def print_of(t):
+        own = sorted(terms(t) & lex)
+        trials = [[signed(xxhash.xxh64_intdigest(struct.pack("<i", i), number(x, 42))) for x in own] for i in range(imatch.TRIALS)]
+        fields = []
+        for r in range(1, imatch.TIERS + 1):
+            for hs in trials:
+                some = [h for h in hs if h % (1 << r) == 0]
+                fields.append(fold(some) if some else "----")
+        return "".join(fields) + (fold(own) if own else f"{xxhash.xxh64_intdigest(t.encode(), 42):016x}"[:4])
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        n = imatch.TIERS * imatch.TRIALS
+        x, y = ([p[4 * i:4 * i + 4] for i in range(n)] for p in (a, b))
+        first = min((f.index("----") for f in (x, y) if "----" in f), default=n - 1) // imatch.TRIALS * imatch.TRIALS
+        pairs = [(p, q) for p, q in zip(x[first:], y[first:]) if p != "----" or q != "----"]
+        return sum(p == q for p, q in pairs) / len(pairs) if pairs else float(a[-4:] == b[-4:])
+
+    edited = [t[:len(t) - len(t) // 3] + rows[(k + 1) % len(rows)][1][:len(t) // 3] for k, (_, t) in enumerate(rows)]
+    prints = [print_of(t) for _, t in rows]
+    more = [print_of(t) for t in edited]
+    return [(p, e, alike(p, e), alike(p, prints[(k + 1) % len(rows)])) for k, (p, e) in enumerate(zip(prints, more))]
+
+
+def test_imatch_fingerprints(spark, tmp_path, real, monkeypatch):
+    d = real.select("doc_id", "text").limit(60).union(spark.createDataFrame([(5000, None), (5001, ""), (5002, "zz yy"), (5003, "zz yy"), (5004, "The THE the of")], "doc_id long, text string"))
+    d.write.parquet(f"{tmp_path}/some/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in d.collect()), reverse=True)
+    want = dict(zip((i for i, _ in rows), brute_imatch(rows)))
+    for most in (imatch.MAX_LISTED_TERMS, 0):  # the lexicon listed, and joined
+        monkeypatch.setattr(imatch, "MAX_LISTED_TERMS", most)
+        for r in imatch.op6_imatch(spark, f"{tmp_path}/some").collect():
+            p, e, a, b = want[r["doc_id"]]
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (p, e)
+            assert abs(r["near_edited"] - a) < 1e-9 and abs(r["near_next"] - b) < 1e-9
+
+
 def test_imatch(spark, sf_dir, tmp_path, real, docs):
     both = docs.select("doc_id", "text").union(real.select(F.col("doc_id") + 1000, "text"))
     for name, d in (("real", both), ("none", docs.limit(0))):
@@ -698,7 +797,54 @@ def test_differencing_is_tight():
     assert Counter(giant)[giant[0]] == 1
 
 
+def test_shards_stay_even_when_bundled(real, monkeypatch):
+    """Bytes of shards, with most groups dealt in bundles: within a bundle of the mean, and equal to differencing by hand."""
+    monkeypatch.setattr(sharding, "LARGE", 50)
+    monkeypatch.setattr(sharding, "BUNDLES", 60)
+    rows = sharding.shard(real, shards=4).collect()
+    total, sums = sum(r["size"] for r in rows), Counter()
+    for r in rows:
+        sums[r["shard"]] += r["size"]
+    assert max(sums.values()) - min(sums.values()) <= total / 4 * 0.02
+
+
 # pipeline ------------------------------------------------------------------------------------
+CLASH = ["__l_text", "__l_kept", "__q_words", "__q_kept", "__q_row", "__m_key", "__m_copies", "__f_range", "__p_row", "row", "id", "node", "fp", "component_id", "u", "hi", "lo", "gone", "owner"]
+
+
+@pytest.fixture(params=["rows", "none"])
+def clashing(request, spark, docs, real):
+    """The odd rows, repeats of them and real ones under the columns of documents, with columns that are named like those the operators make."""
+    odd = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    d = odd.union(odd.filter("doc_id in (1, 8)")).union(real.select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars")).withColumns({c: F.lit(k) for k, c in enumerate(CLASH)})
+    return d if request.param == "rows" else d.limit(0)
+
+
+def test_stages_on_odd_tables(spark, clashing):
+    import corpus_pipeline
+
+    have = Counter((r["doc_id"], r["text"]) for r in clashing.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, "")
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert all(tuple(r[c] for c in CLASH) == tuple(range(len(CLASH))) for r in rows), name
+        if name != "line_dedup":
+            assert all((r["doc_id"], r["text"]) in have for r in rows), name
+    assert len(rows) == 0 if not have else len(rows) > 0
+    d = clashing
+    for _, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, "")
+    assert set(d.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and (d.count() > 0) == bool(have)
+
+
+def test_operators_on_clashing_columns(clashing):
+    """The operators see doc_id and text alone: other columns change no result."""
+    plain = clashing.select("doc_id", "text", "lang", "source")
+    for f in (lambda d: pii.find_pii(d), lambda d: simhash.near_groups(d), lambda d: quality.quality_rules(d), lambda d: packing.pieces(d), lambda d: sharding.shard(d).select("doc_id", "size", "shard")):
+        assert Counter(map(str, f(clashing).collect())) == Counter(map(str, f(plain).collect()))
+
+
 def test_pipeline(spark, sf_dir, real):
     import corpus_pipeline
 
