@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..session import stash
 
 
+#: Links from which on the least neighbours are written before they are joined, so that the join deals both sides anew and may split a hub.
+HUB_LINKS = 1_000_000
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): component is the least node reachable. Large-star and small-star steps until nothing
     changes; each step is written to the shared folder, so lineage stays short and lost executors cost a step."""
@@ -18,11 +22,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     alone = pairs.filter("u = v").select(F.col("u").alias("node"))
     e, known = stash(pairs.filter("u > v").distinct(), name), None
+    written = (lambda x: stash(x, name)) if e.count() >= HUB_LINKS else (lambda x: x)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = stash(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = stash(small.filter("u > v").distinct(), name)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -59,7 +64,7 @@ def running_mean_rows(df: DataFrame, key: str, value: str, tie: str, tolerance:
 
 
 def capped_union(df: DataFrame, key: str, value: str, tie: str, reach: float, ratio: float) -> DataFrame:
-    """Union of neighbours within reach in order of value, refused where the cluster's largest would exceed ratio times its least."""
+    """Union of neighbours within reach in order of value, refused where the cluster's largest would exceed ratio times its least, or that is not over 0."""
     def step(pdf):
         vals, parent = pdf[value].tolist(), list(range(len(pdf)))
         low, high = vals[:], vals[:]
@@ -74,7 +79,7 @@ def capped_union(df: DataFrame, key: str, value: str, tie: str, reach: float, ra
                 if vals[j] - vals[i] > reach:
                     break
                 a, b = root(i), root(j)
-                if a != b and max(high[a], high[b]) <= ratio * min(low[a], low[b]):
+                if a != b and min(low[a], low[b]) > 0 and max(high[a], high[b]) <= ratio * min(low[a], low[b]):
                     parent[b], low[a], high[a] = a, min(low[a], low[b]), max(high[a], high[b])
         ids: dict[int, int] = {}
         return [ids.setdefault(root(i), len(ids)) for i in range(len(vals))]

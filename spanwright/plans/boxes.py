@@ -67,16 +67,21 @@ def letterbox_transform(spark, d):
     return b.select("vec_id", F.round(t.x1, 3).alias("x1"), F.round(t.y1, 3).alias("y1"), F.greatest(F.lit(1).cast("long"), F.bround((F.col("x2") - F.col("x1")) * scale).cast("long")).alias("w"))
 
 
+def paged(spark, d):
+    """The boxes in pages of 200 ids of a label at most: what is folded in order of a page is bounded."""
+    return boxes(spark, d).withColumn("page", F.col("label").cast("long") * 1_000_000_000 + F.floor(F.col("vec_id") / 200))
+
+
 @query()
 def greedy_nms(spark, d):
-    return graph.greedy_nms(boxes(spark, d), "label", "vec_id", 0.75)
+    return graph.greedy_nms(paged(spark, d), "page", "vec_id", 0.75)
 
 
 @query()
 def graph_colour(spark, d):
-    return graph.graph_colour(boxes(spark, d), "label", "vec_id")
+    return graph.graph_colour(paged(spark, d), "page", "vec_id")
 
 
 @query()
 def topo_order(spark, d):
-    return graph.topo_order(boxes(spark, d), "label", "vec_id")
+    return graph.topo_order(paged(spark, d), "page", "vec_id")

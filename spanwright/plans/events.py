@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, joins, windows
-from ..session import table
+from ..session import stash, table
 from ..streaming import limiter
 from .registry import query
 
@@ -117,22 +117,37 @@ def json_dig(spark, d):
 @query("""WITH b AS (SELECT event_type, value, floor(value / 16) * 16 AS bucket FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, bucket, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, bucket) AS rn FROM b GROUP BY event_type, bucket)
 SELECT b.event_type, m.bucket, count(*) AS n, round(median(b.value), 6) AS median_near FROM b JOIN m ON m.event_type = b.event_type AND rn = 1 AND abs(b.value - (m.bucket + 8)) <= 24 GROUP BY b.event_type, m.bucket""")
 def bucket_mode_median(spark, d):
-    """The commonest bucket of 16, and the median of the values near it."""
+    """The commonest bucket of 16, and the median of the values near it: counts by narrow ranges tell which ranges hold the middle ones, and only their values are ranked."""
     b = table(spark, d, "events").filter("value is not null").select("event_type", "value", (F.floor(F.col("value") / 16) * 16).cast("double").alias("bucket"))
     m = windows.first_wins(b.groupBy("event_type", "bucket").count(), ["event_type"], [F.desc("count"), "bucket"]).select("event_type", F.col("bucket").alias("mode"))
-    near = b.join(m, "event_type").filter(F.abs(F.col("value") - (F.col("mode") + 8)) <= 24)
-    return near.groupBy("event_type", F.col("mode").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("median_near"))
+    near = b.join(m, "event_type").filter(F.abs(F.col("value") - (F.col("mode") + 8)) <= 24).withColumn("part", F.floor(F.col("value") * 64))
+    sizes = near.groupBy("event_type", "mode", "part").count()
+    w = Window.partitionBy("event_type").orderBy("part")
+    sizes = sizes.withColumns({"before": F.sum("count").over(w) - F.col("count"), "n": F.sum("count").over(Window.partitionBy("event_type"))})
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("count"))
+    middle = near.select("event_type", "part", "value").join(sizes.filter(holds(low) | holds(high)), ["event_type", "part"])
+    at = F.col("before") + F.row_number().over(Window.partitionBy("event_type", "part").orderBy("value")) - 1
+    middle = middle.withColumn("at", at).filter((F.col("at") == low) | (F.col("at") == high))
+    return middle.groupBy("event_type", F.col("mode").alias("bucket")).agg(F.max("n").alias("n"), F.round(F.avg("value"), 6).alias("median_near"))
 
 
 @query("""WITH h AS (SELECT event_type AS t, floor(value / 10)::BIGINT AS b, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL), t AS (SELECT DISTINCT t FROM h), b AS (SELECT DISTINCT b FROM h),
 f AS (SELECT t.t, b.b, coalesce(h.n, 0) AS n FROM t CROSS JOIN b LEFT JOIN h ON h.t = t.t AND h.b = b.b)
 SELECT x.t AS left_type, y.t AS right_type, round(corr(x.n, y.n), 6) AS correlation FROM f x JOIN f y ON x.b = y.b AND x.t < y.t GROUP BY ALL""")
 def hist_corr(spark, d):
-    """Correlation of the types' value histograms, over bins that any type has."""
-    h = table(spark, d, "events").filter("value is not null").groupBy(F.floor(F.col("value") / 10).alias("b")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0)
-    kinds = [c for c in h.columns if c != "b"]
-    pairs = [(a, b) for a in kinds for b in kinds if a < b]
-    return h.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).select(F.explode(F.array(*(F.struct(F.lit(a).alias("left_type"), F.lit(b).alias("right_type"), F.round(F.col(f"{a}|{b}"), 6).alias("correlation")) for a, b in pairs))).alias("x")).select("x.*").filter("correlation is not null")
+    """Correlation of the types' value histograms, over bins that any type has, from sums of products; bins that a type lacks count 0."""
+    h = stash(table(spark, d, "events").filter("value is not null").groupBy("event_type", F.floor(F.col("value") / 10).alias("b")).agg(F.count("*").cast("double").alias("n")), "histograms")
+    bins = h.select(F.countDistinct("b").alias("bins"), F.sort_array(F.collect_set("event_type")).alias("kinds"), F.lit(1).alias("one"))
+    sums = h.groupBy("event_type").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).withColumn("one", F.lit(1))
+    left = sums.join(bins, "one").withColumn("right_type", F.explode("kinds")).filter(F.col("event_type") < F.col("right_type")).select(F.col("event_type").alias("left_type"), "right_type", F.col("s").alias("s1"), F.col("q").alias("q1"), "bins")
+    pairs = left.join(sums.select(F.col("event_type").alias("right_type"), F.col("s").alias("s2"), F.col("q").alias("q2")), "right_type")
+    x, y = (h.select("b", F.col("event_type").alias(f"{side}_type"), F.col("n").alias(f"{side}_n")) for side in ("left", "right"))
+    both = x.join(y, "b").filter("left_type < right_type").groupBy("left_type", "right_type").agg(F.sum(F.col("left_n") * F.col("right_n")).alias("p"))
+    c = pairs.join(both, ["left_type", "right_type"], "left")
+    spread = lambda k: F.col("bins") * F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}")
+    r = (F.col("bins") * F.coalesce("p", F.lit(0.0)) - F.col("s1") * F.col("s2")) / F.sqrt(spread(1) * spread(2))
+    return c.filter((spread(1) > 0) & (spread(2) > 0)).select("left_type", "right_type", F.round(r, 6).alias("correlation"))
 
 
 @query(f"""WITH w AS (SELECT user_id, value, unnest([(epoch_us(ts) // (3600 * {US}::BIGINT)) - 1, epoch_us(ts) // (3600 * {US}::BIGINT)]) AS hour FROM events),
@@ -148,10 +163,11 @@ def hop_windows_topk(spark, d):
 
 @query("""SELECT user_id, max(v) AS top, list_sort(list(v))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS p90, list_sort(list(v))[CAST(floor(0.08 * (count(*) - 1)) AS BIGINT) + 1] AS p8 FROM (SELECT user_id, value AS v FROM events WHERE value IS NOT NULL) GROUP BY user_id""")
 def percentiles(spark, d):
-    """Lower percentiles of a user's values, which are real values."""
-    v = table(spark, d, "events").filter("value is not null").groupBy("user_id").agg(F.max("value").alias("top"), F.sort_array(F.collect_list("value")).alias("v"), F.count("*").alias("n"))
-    at = lambda q: F.get(F.col("v"), F.floor(F.lit(q) * (F.col("n") - 1)).cast("int"))
-    return v.select("user_id", "top", at(0.9).alias("p90"), at(0.08).alias("p8"))
+    """Lower percentiles of a user's values, which are real values: ranked, not collected."""
+    v = table(spark, d, "events").filter("value is not null").select("user_id", "value")
+    v = v.withColumns({"n": F.count("*").over(Window.partitionBy("user_id")), "at": F.row_number().over(Window.partitionBy("user_id").orderBy("value")) - 1})
+    at = lambda q: F.max(F.when(F.col("at") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col("value")))
+    return v.groupBy("user_id").agg(F.max("value").alias("top"), at(0.9).alias("p90"), at(0.08).alias("p8"))
 
 
 @query()
@@ -168,7 +184,7 @@ def running_mean_rows(spark, d):
 
 @query()
 def capped_union(spark, d):
-    e = table(spark, d, "events").filter("value > 0").select("event_id", "user_id", "value")
+    e = table(spark, d, "events").filter("value is not null").select("event_id", "user_id", "value")
     return graph.capped_union(e, "user_id", "value", "event_id", reach=6.0, ratio=1.6)
 
 

@@ -23,14 +23,14 @@ LINES = r"""lines AS (SELECT doc_id, lang, source, n_chars, unnest(range(0, len(
  FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
 
 
-@query(f"""WITH {LINES}, n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
-g AS (SELECT source, line, count(DISTINCT doc_id) AS docs, count(*) AS hits, min(idx) AS lo, max(idx) AS hi, list_sort(list(idx)) AS ids FROM lines WHERE length(line) BETWEEN 1 AND 80 GROUP BY source, line)
+@query(rf"""WITH {LINES}, n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
+g AS (SELECT source, line, count(DISTINCT doc_id) AS docs, count(*) AS hits, min(idx) AS lo, max(idx) AS hi, list_sort(list(idx)) AS ids FROM lines WHERE line <> '' AND length(line) + length(regexp_replace(line, '[^\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{F900}}-\x{{FAFF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7A3}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) <= 20 GROUP BY source, line)
 SELECT g.source, line, docs, hits, CAST(floor((ids[(hits + 1) // 2] + ids[hits // 2 + 1]) / 2.0) AS BIGINT) AS median_idx
 FROM g JOIN n USING (source) WHERE docs >= greatest(2, round_even(0.02 * n.n, 0)) AND hi - lo <= 30""")
 def template_repeat(spark, d):
     """Lines that many documents of a source have at about the same place."""
     n = table(spark, d, "documents").groupBy("source").agg(F.countDistinct("doc_id").alias("total"))
-    short = lines(spark, d, "source").filter(F.length("line").between(1, 80))
+    short = lines(spark, d, "source").filter((F.col("line") != "") & (tx.weighted_length(F.col("line")) <= 20))
     # by document first, so a line of all documents arrives as one row a document
     g = short.groupBy("source", "line").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("hits"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.percentile("idx", 0.5).alias("m"))
     g = g.filter((F.col("docs") >= 2) & (F.col("hi") - F.col("lo") <= 30)).join(n, "source")
@@ -64,39 +64,37 @@ def merge_correction(spark, d):
     return out.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-@query(f"""WITH {LINES}, w AS (SELECT DISTINCT line FROM lines WHERE length(line) >= 10 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+@query(f"""WITH {LINES}, w AS (SELECT DISTINCT line FROM lines WHERE line <> '' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT doc_id, count(*) AS hits FROM lines WHERE line IN (SELECT line FROM w) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id""")
 def whitelist_semi(spark, d):
     """Lines of other documents that are exactly a line of a document of good quality."""
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    x = lines(spark, d).filter(F.length("line") >= 10)
+    x = lines(spark, d).filter("line <> ''")
     white = x.join(good, "doc_id", "left_semi").select("line").distinct()
     return x.join(good, "doc_id", "left_anti").join(white, "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query(r"""WITH p AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 7))) AS word FROM benchmark),
-w AS (SELECT DISTINCT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)
-SELECT l.lang, count(*) AS n_keywords, count(w.word) AS n_found, round(count(w.word) / count(*), 6) AS recall FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT word FROM p) k LEFT JOIN w ON w.lang IS NOT DISTINCT FROM l.lang AND w.word = k.word GROUP BY l.lang""")
+@query(r"""WITH p AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[\x20\x09-\x0D]+')) AS word FROM benchmark), k AS (SELECT word FROM p WHERE word <> ''),
+w AS (SELECT DISTINCT lang, unnest(string_split_regex(lower(text), '[\x20\x09-\x0D]+')) AS word FROM documents)
+SELECT l.lang, count(k.word) AS n_keywords, count(w.word) AS n_found, round(count(w.word) / greatest(count(k.word), 1), 6) AS recall FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN k ON true LEFT JOIN w ON w.lang IS NOT DISTINCT FROM l.lang AND w.word = k.word GROUP BY l.lang""")
 def keyword_recall(spark, d):
-    """The share of the benchmark's long words that the documents of a language have."""
-    split = lambda c: F.split(F.lower(c), "[^a-z]+")
-    keys = table(spark, d, "benchmark").select(F.explode(F.filter(split("text"), lambda x: F.length(x) >= 7)).alias("word")).distinct()
+    """The share of the benchmark's words that the documents of a language have; 0 of no words."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    keys = table(spark, d, "benchmark").select(F.explode(split("text")).alias("word")).distinct()
     n = keys.count()
     docs = table(spark, d, "documents")
-    found = docs.select("lang", F.explode(F.array_distinct(F.filter(split("text"), lambda x: F.length(x) >= 7))).alias("word")).join(keys, "word", "left_semi").distinct()
+    found = docs.select("lang", F.explode(split("text")).alias("word")).join(keys, "word", "left_semi").distinct()
     f = found.groupBy("lang").agg(F.count("*").alias("n_found"))
     langs = docs.select("lang").distinct()
-    return langs.join(f, langs["lang"].eqNullSafe(f["lang"]), "left").select(langs["lang"], F.lit(n).cast("long").alias("n_keywords"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.round(F.coalesce("n_found", F.lit(0)) / F.lit(n), 6).alias("recall"))
+    return langs.join(f, langs["lang"].eqNullSafe(f["lang"]), "left").select(langs["lang"], F.lit(n).cast("long").alias("n_keywords"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.round(F.coalesce("n_found", F.lit(0)) / F.lit(max(n, 1)), 6).alias("recall"))
 
 
-@query(r"""SELECT conv_id, turn, round(CASE WHEN length(p) = 0 THEN CASE WHEN length(t) = 0 THEN 0 ELSE 1 END ELSE levenshtein(t, p) / length(p) END, 6) AS cer FROM
- (SELECT conv_id, turn, role, text AS t, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM conversations) WHERE regexp_matches(t, '^[\x00-\x7F]*$') AND regexp_matches(p, '^[\x00-\x7F]*$') AND length(t) <= 200 AND length(p) <= 200""")
+@query()
 def cer_adjacent(spark, d):
-    """Edits from the turn before, per character, of short ASCII turns (engines count edits of other text differently)."""
+    """Edits from the turn before, per character. Engines count edits of text beyond ASCII differently, so it has no SQL."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"), F.lag("text").over(w).alias("p"))
-    ok = lambda x: F.col(x).rlike(r"^[\x00-\x7F]*$") & (F.length(x) <= 200)
-    return c.filter(ok("t") & ok("p")).select("conv_id", "turn", F.round(tx.cer(F.col("t"), F.col("p")), 6).alias("cer"))
+    return c.filter("t is not null and p is not null").select("conv_id", "turn", F.round(tx.cer(F.col("t"), F.col("p")), 6).alias("cer"))
 
 
 @query(r"""SELECT conv_id, turn, len(x) AS n_distinct, len(list_filter(x, lambda c: NOT list_contains(y, c))) AS n_extra, round(len(list_filter(x, lambda c: NOT list_contains(y, c))) / greatest(len(x), 1), 6) AS extra_ratio FROM
@@ -110,8 +108,8 @@ def extra_ratio(spark, d):
     return c.select("conv_id", "turn", F.size("x").cast("long").alias("n_distinct"), n.cast("long").alias("n_extra"), F.round(n / F.size("x"), 6).alias("extra_ratio"))
 
 
-@query(r"""SELECT lang, bucket, count(*) AS n_lines, sum(n)::BIGINT AS visible, sum(w)::BIGINT AS weighted FROM (SELECT lang, n, w, CASE WHEN n <= 4 THEN 'short' WHEN n <= 12 THEN 'medium' ELSE 'long' END AS bucket FROM
- (SELECT lang, length(regexp_replace(line, '[\x20\x09-\x0D\x{00A0}\x{3000}]', '', 'g')) AS n, length(line) + length(regexp_replace(line, '[^\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]', '', 'g')) AS w
+@query(r"""SELECT lang, bucket, count(*) AS n_lines, sum(n)::BIGINT AS visible, sum(w)::BIGINT AS weighted FROM (SELECT lang, n, w, CASE WHEN len <= 4 THEN 'short' WHEN len <= 12 THEN 'medium' ELSE 'long' END AS bucket FROM
+ (SELECT lang, length(line) AS len, length(regexp_replace(line, '[\x20\x09-\x0D\x{00A0}\x{3000}]', '', 'g')) AS n, length(line) + length(regexp_replace(line, '[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{FF00}-\x{FFEF}]', '', 'g')) AS w
   FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents))) GROUP BY lang, bucket""")
 def script_profile(spark, d):
     x = F.col("line")
@@ -185,10 +183,10 @@ def url_parse(spark, d):
     return table(spark, d, "pages").select("page_id", F.lower(x("^([A-Za-z]+)://")).alias("scheme"), x("^[A-Za-z]+://([^/?#]+)").alias("host"), x("^[A-Za-z]+://[^/?#]+([^?#]*)").alias("path"), x("/([0-9]+)(?:[?#].*)?$").alias("number"), x(r"\?([^#]*)").alias("query"))
 
 
-@query(f"""WITH {LINES} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^[-*\\x{{2022}}\\x{{00B7}}\\x{{25CF}}\\x{{25A0}}] +') THEN 'bullet' WHEN regexp_matches(line, '^\\(?[0-9]{{1,2}}[.)\\x{{3001}}]([^0-9]|$)') THEN 'ordinal' ELSE 'none' END AS kind FROM lines) GROUP BY kind""")
+@query(rf"""WITH {LINES}, o AS (SELECT line, regexp_extract(line, '^\(?([0-9]{{1,3}})([.)、．])\)?[\x20\x09-\x0D]*', 0) AS o, regexp_extract(line, '^\(?([0-9]{{1,3}})([.)、．])\)?[\x20\x09-\x0D]*', 2) AS s FROM lines)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN line <> '' AND contains('{tx.BULLETS}', left(line, 1)) THEN 'bullet' WHEN o <> '' AND NOT (s IN ('.', '．') AND regexp_matches(substr(line, length(o) + 1, 1), '[0-9]')) THEN 'ordered' ELSE 'none' END AS kind FROM o) GROUP BY kind""")
 def list_prefixes(spark, d):
-    p = tx.list_prefix(F.col("line"))
-    return lines(spark, d).groupBy(F.when(p.isNull(), "none").when(p.rlike("[0-9]"), "ordinal").otherwise("bullet").alias("kind")).agg(F.count("*").alias("n"))
+    return lines(spark, d).groupBy(F.coalesce(tx.list_prefix(F.col("line"))["kind"], F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, left(text, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS preview, left(sha256(text), 16) AS cache_key, regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")

@@ -14,7 +14,7 @@ def fold(times: Iterable[int], held: deque, limit: int, window: int) -> list[boo
     """Admissions of times in order; held is the state and changes. limit 0 or less admits all."""
     out = []
     for t in times:
-        while held and held[0] <= t - window:
+        while held and held[0] < t - window:
             held.popleft()
         ok = limit <= 0 or len(held) < limit
         if ok and limit > 0:

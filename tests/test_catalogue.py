@@ -11,6 +11,7 @@ from spanwright.functions import rounding
 from spanwright.functions import text as tx
 from spanwright.operators import graph, joins, rules, windows
 from spanwright.plans import boxes, events, orders
+from spanwright.plans import text as text_plans
 from spanwright.session import table
 from spanwright.sources import readers
 from spanwright.streaming import limiter
@@ -50,7 +51,7 @@ def test_rate_limit(spark, sf_dir):
         want[r["event_id"]] = limiter.fold([r["us"]], held[r["user_id"]], 3, 24 * 3600 * 10**6)[0]
     got = {r["event_id"]: r["admitted"] for r in events.rate_limit(spark, sf_dir).collect()}
     assert got == want and not all(got.values()) and limiter.fold([1, 2, 3], deque(), 0, 10) == [True] * 3
-    assert limiter.fold([0, 1, 2, 3, 10, 11, 12], deque(), 2, 10) == [True, True, False, False, True, True, False]
+    assert limiter.fold([0, 1, 2, 3, 10, 11, 12], deque(), 2, 10) == [True, True, False, False, False, True, True]
 
 
 def test_rate_limit_stream(spark, tmp_path):
@@ -59,13 +60,13 @@ def test_rate_limit_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
     q.processAllAvailable()
     q.stop()
-    assert [r["admitted"] for r in spark.sql("select * from limited order by t").collect()] == [True, True, False, False, True, True, False]
+    assert [r["admitted"] for r in spark.sql("select * from limited order by t").collect()] == [True, True, False, False, False, True, True]
 
 
 def box_rows(df):
     by = defaultdict(list)
     for r in df.collect():
-        by[r["label"]].append(r)
+        by[r["page"]].append(r)
     return by
 
 
@@ -87,7 +88,8 @@ def test_graph_colour_and_order(spark, sf_dir):
     for rows in box_rows(boxes.graph_colour(spark, sf_dir)).values():
         assert all(a["colour"] != b["colour"] for a in rows for b in rows if a["vec_id"] < b["vec_id"] and meet(a, b) > 0)
     z = {r["vec_id"]: r["z"] for r in boxes.topo_order(spark, sf_dir).collect()}
-    assert all(z[r["parent"]] < z[r["child"]] for r in boxes.containment_edges(spark, sf_dir).collect())
+    page = {r["vec_id"]: r["page"] for r in boxes.paged(spark, sf_dir).collect()}
+    assert all(z[r["parent"]] < z[r["child"]] for r in boxes.containment_edges(spark, sf_dir).collect() if page[r["parent"]] == page[r["child"]])
 
 
 def test_clusters(spark):
@@ -115,6 +117,11 @@ ENGINES = {"first": ("a", "pa"), "second": ("b", "pb"), "third": ("c", "pc")}
     (("foo", .96, "barbar", .1, "q", .1), ("yellow", "D_prime_single_high_conf", "foo")),
     (("中文字", .86, "q", .1, "zzz", .2), ("yellow", "G_moderate_conf_fallback", "中文字")),
     (("中文字", .4, "q", .1, "zzz", .2), ("red", "F_disagree", "中文字")),
+    (("abcd", .5, "abce", .5, "zzzz", .5), ("red", "F_disagree", "zzzz")),  # one close pair is not enough
+    (("", .97, "barbar", .1, "q", .1), ("red", "F_disagree", "barbar")),  # no confidence in an empty text
+    (("ab", .96, "abcdef", .97, "xyz", .95), ("yellow", "D_prime_single_high_conf", "xyz")),  # ASCII goes to the third
+    (("，（好）", .5, ",(好)", .6, "", 0), ("green", "B_majority", ",(好)")),  # CJK punctuation is compared as ASCII
+    (("中ab文字", .2, "中文字x", .6, "q", .9), ("yellow", "G_moderate_conf_fallback", "q")),
 ])
 def test_consensus(spark, row, want):
     a, pa, b, pb, c, pc = row
@@ -122,17 +129,61 @@ def test_consensus(spark, row, want):
     assert tuple(d.select(rules.consensus(ENGINES).alias("x")).first()["x"]) == want
 
 
+def test_rescue(spark):
+    row = lambda tier, crop, p: d.select(rules.rescue(F.lit(tier), F.lit("F_disagree"), F.lit("s"), [F.col(c) for c in "abc"], F.lit(crop), F.lit(p)).alias("x")).first()["x"]
+    d = spark.createDataFrame([("one", "two", "three")], "a string, b string, c string")
+    assert tuple(row("yellow", "two", .9)) == tuple(row("yellow", "x", .1)) == ("yellow", "F_disagree", "s")
+    assert row("red", "ONE", .99)["tier"] == row("red", "", .99)["tier"] == row("red", "new", .84)["tier"] == "red"
+    assert tuple(row("red", "Two", .1)) == ("yellow", "G_prime_paddle_crop_agrees_with_easyocr", "Two") and row("red", "thr ee", .1)["reason"].endswith("tesseract")
+    assert tuple(row("red", "new", .85)) == ("yellow", "G_prime_paddle_crop_moderate_conf", "new")
+
+
+@pytest.mark.parametrize("text, conf, box, want", [
+    ("ACME CORP", .99, (600, 10, 700, 40), "H1_logo_strip"), ("ACME CORP", .99, (600, 300, 700, 340), None), ("山", .54, (600, 300, 640, 340), "H2_single_cjk_lowconf"), ("山", .55, (600, 300, 640, 340), None),
+    ("**", .79, (600, 300, 640, 340), "H3_punct_symbol_only"), ("..", .5, (600, 300, 640, 340), None), ("-->", .85, (600, 300, 640, 340), "H4_arrow_dash_fragment"), ("abc", .94, (600, 300, 640, 315), "H5_short_thin_lowconf"),
+    ("abc", .94, (600, 300, 640, 316), None), ("12", .94, (1260, 700, 1270, 712), None), ("1O", .94, (1100, 10, 1150, 60), "H6_logo_digits_top_corner"), ("1O", .95, (1100, 10, 1150, 60), None)])
+def test_clearing(spark, text, conf, box, want):
+    d = spark.createDataFrame([(text, conf, *box)], "t string, c double, x1 int, y1 int, x2 int, y2 int")
+    assert d.select(rules.clearing_rule(F.col("t"), F.col("c"), *(F.col(x) for x in ("x1", "y1", "x2", "y2")), F.lit(1280), F.lit(720))).first()[0] == want
+
+
 def test_text_functions(spark):
-    d = spark.createDataFrame([("中文 ab",), ("1. item",), ("1.5 cm",), ("• dot",), ("12%",), ("Label",), ("",)], "t string")
+    d = spark.createDataFrame([("中文 ab",), ("1. item",), ("1.5 cm",), ("• dot",), ("12%",), ("Label",), ("",), ("1000亿元",), ("(3) x",), ("a·b",), ("ab,c",)], "t string")
     t = F.col("t")
-    got = d.select(tx.weighted_length(t), tx.visible_length(t), tx.list_prefix(t), tx.is_stat_value(t), tx.compact_label(t), tx.has_cjk(t), tx.length_bucket(t)).collect()
+    kind = tx.list_prefix(t)
+    got = d.select(tx.weighted_length(t), tx.visible_length(t), kind["kind"], kind["marker_chars"], tx.is_stat_value(t), tx.compact_label(t), tx.has_cjk(t), tx.length_bucket(t)).collect()
     assert [tuple(r) for r in got] == [
-        (7, 4, None, False, False, True, "short"), (7, 6, "1.", False, False, False, "medium"), (6, 5, None, True, False, False, "medium"), (5, 4, "•", False, False, False, "short"),
-        (3, 3, None, True, False, False, "short"), (5, 5, None, False, True, False, "medium"), (0, 0, None, False, False, False, "short")]
+        (7, 4, None, None, False, False, True, "medium"), (7, 6, "ordered", 3, False, False, False, "medium"), (6, 5, None, None, False, False, False, "medium"), (5, 4, "bullet", 1, False, False, False, "medium"),
+        (3, 3, None, None, True, False, False, "short"), (5, 5, None, None, False, True, False, "medium"), (0, 0, None, None, False, False, False, "short"), (8, 6, None, None, True, False, True, "medium"),
+        (5, 4, "ordered", 4, False, False, False, "medium"), (3, 3, None, None, False, True, False, "short"), (4, 4, None, None, False, False, False, "short")]
+    more = d.select(tx.without_bullet(t), tx.safe_dots(t), tx.is_punctuation(t), tx.width_units(t)).collect()
+    assert more[3][0] == "dot" and more[9][1] == "a‧b" and more[6][2] and not more[4][2] and abs(more[0][3] - (2 + 0.35 + 1.12)) < 1e-9
+    names = spark.createDataFrame([("../../etc/passwd",), ("a\\b.png",), ("..hidden",), ("..",)], "t string").select(tx.safe_filename(t)).collect()
+    assert [r[0] for r in names] == ["passwd", "a_b.png", "hidden", "upload"]
     r = spark.range(1).select(rounding.half_even(F.lit(2.5)), rounding.half_up(F.lit(2.5)), rounding.snap(F.lit(11.0), [10, 12]), rounding.clamp(F.lit(9.0), 0, 5)).first()
     assert tuple(r) == (2.0, 3, 10.0, 5.0)
 
 
+def test_cer_adjacent(spark, tmp_path):
+    rows = [(1, 0, "u", "abc"), (1, 1, "a", "abd"), (1, 2, "u", ""), (1, 3, "a", "éé" * 300), (2, 0, "u", "x"), (2, 1, "a", None), (3, 0, "u", ""), (3, 1, "a", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for (c, _, _, p), (e, turn, _, t) in zip(rows, rows[1:]):
+        if c == e and p is not None and t is not None:
+            want[c, turn] = round(edits(t, p) / len(p) if p else float(bool(t)), 6)
+    got = {(r["conv_id"], r["turn"]): r["cer"] for r in text_plans.cer_adjacent(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_correct_and_intervals(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id int, text string")
     fixes = spark.createDataFrame([(1, "a"), (2, ""), (3, "x"), (4, None)], "id int, fix string")
