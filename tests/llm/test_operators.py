@@ -421,6 +421,26 @@ def test_near_copies_beyond_the_hub(spark):
     assert all(got[a] == got[b] for a in sets for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
 
 
+def test_near_copies_of_any_length(spark):
+    """Pairs just above and well below the threshold, from 40 to 9,000 words: all of the former link, none of the latter."""
+    import random
+
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for k, n in enumerate([40, 90, 400, 1000, 1100, 2100, 2500, 9000] * 3):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        for j, share in enumerate((0.105, 0.40)):  # of the shingles of each side, what the other lacks: 0.8 is reached at a ninth
+            other = words[:n - int(n * share)] + [f"v{rnd.randrange(10**6)}" for _ in range(int(n * share) - 4 * (j == 0))]
+            a, b = (set(near_copies.shingle_set(" ".join(x)).tolist()) for x in (words, other))
+            rows += [(100 * k + 2 * j, f"{' '.join(words)} e{j} e{j}"), (100 * k + 2 * j + 1, f"{' '.join(other)} e{j} e{j}")] if j else [(100 * k, " ".join(words)), (100 * k + 1, " ".join(other))]
+            want[100 * k + 2 * j] = len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(near_copies.shingle_set(t).tolist()) for i, t in rows}
+    for i in want:
+        near = 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])
+        assert (got[i] == got[i + 1]) == near, (i, want[i])
+
+
 def test_near_dedup_stage(spark):
     import corpus_pipeline
 
