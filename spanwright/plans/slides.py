@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.colour import Colour, spread_hue
 from ..functions.geometry import Box
-from ..operators import graph, layout, rules, windows
+from ..operators import folds, graph, layout, rules, windows
 from .registry import query
 from .text import LINES, lines
 
@@ -357,3 +357,47 @@ def calibration_steps(spark, d):
 def spread_hues(spark, d):
     """Fallback colours of a slide's lines."""
     return items(spark, d).select("id", spread_hue(F.col("slide"), F.col("idx")).alias("colour"))
+
+
+@query()
+def slide_folds(spark, d):
+    """Sizes, groups and colours that depend on the order of a slide's texts."""
+    return folds.folded(items(spark, d).select(*KEYS, "id", "text", "x1", "y1", "x2", "y2", "size", "bold", "color"), KEYS, "id")
+
+
+MARKS = rf""", o AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM items WHERE length(text) + length(regexp_replace(text, '[^\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{F900}}-\x{{FAFF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7A3}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) <= 40),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, slide FROM items)), marks AS (SELECT text, count(DISTINCT doc_id * 1048576 + slide) AS pages, trunc(median(cx))::BIGINT AS mid_x, trunc(median(cy))::BIGINT AS mid_y FROM o GROUP BY text
+ HAVING count(DISTINCT doc_id * 1048576 + slide) >= (SELECT greatest(2, round_even(0.001 * n, 0)) FROM n) AND max(cx) - min(cx) <= 600 AND max(cy) - min(cy) <= 600)"""
+
+
+def _marks(spark, d):
+    """Texts of a weighted length of 40 at most that enough slides have at about one place; the bounds are wide, as these places are made up."""
+    x = items(spark, d)
+    n = x.select(*KEYS).distinct().count()
+    page = F.col("doc_id") * 1048576 + F.col("slide")
+    o = x.filter(tx.weighted_length(F.col("text")) <= 40).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+    spread = lambda c: F.max(c) - F.min(c)
+    g = o.groupBy("text").agg(F.countDistinct(page).alias("pages"), spread("cx").alias("sx"), spread("cy").alias("sy"), F.percentile("cx", F.lit(0.5)).cast("long").alias("mid_x"), F.percentile("cy", F.lit(0.5)).cast("long").alias("mid_y"))
+    return x, g.filter((F.col("pages") >= max(2, round(0.001 * n))) & (F.col("sx") <= 600) & (F.col("sy") <= 600)).select("text", "pages", "mid_x", "mid_y")
+
+
+@query(f"WITH {ITEMS}{MARKS} SELECT text, pages, mid_x, mid_y FROM marks")
+def template_marks(spark, d):
+    """Texts that a template puts on many slides."""
+    return _marks(spark, d)[1]
+
+
+@query(f"WITH {ITEMS}{MARKS} SELECT id FROM items WHERE text IN (SELECT text FROM marks) UNION SELECT id FROM items WHERE text IN (SELECT text FROM items WHERE doc_id % 50 = 0)")
+def flagged_texts(spark, d):
+    """Lines that are marks of a template or on a whitelist, each once; documents by number stand for the whitelist."""
+    x, marks = _marks(spark, d)
+    white = x.filter("pmod(doc_id, 50) = 0").select("text").distinct()
+    return x.join(marks, "text", "left_semi").select("id").union(x.join(white, "text", "left_semi").select("id")).distinct()
+
+
+@query(rf"""WITH {ITEMS}, p AS (SELECT *, CASE WHEN regexp_matches(text, '^[^|丨]{{0,3}}[|丨]') THEN regexp_replace(regexp_extract(text, '^[^|丨]{{0,3}}[|丨](.*)$', 1), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') ELSE '' END AS rest FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'ic|' || text ELSE text END AS text) FROM items))
+SELECT id, CASE WHEN regexp_matches(rest, '[\p{{L}}\p{{N}}]') AND x1 + greatest(h, 25) + 10 < x2 THEN rest ELSE text END AS text, x1 + CASE WHEN regexp_matches(rest, '[\p{{L}}\p{{N}}]') AND x1 + greatest(h, 25) + 10 < x2 THEN greatest(h, 25) + 4 ELSE 0 END AS x1 FROM p""")
+def icon_prefixes(spark, d):
+    """Lines, a third of them after an icon and a bar, without what is before the bar."""
+    x = items(spark, d).withColumn("text", F.when(F.pmod("id", F.lit(3)) == 0, F.concat(F.lit("ic|"), F.col("text"))).otherwise(F.col("text")))
+    return layout.icon_prefix(x).select("id", "text", "x1")

@@ -238,3 +238,15 @@ def test_rows_by_running_mean():
         else:
             rows.append([r])
     assert tables._rows(items) == rows
+
+
+def test_passes_over_a_slide(spark, sf_dir):
+    from spanwright.operators import folds
+
+    t = lambda text, size, y=0, bold=False, color="#222222", x=0: {"text": text, "size": size, "x1": x, "x2": x + 40, "y1": y, "y2": y + 20, "bold": bold, "color": color}
+    assert folds.unified([t("524", 12), t("63", 18), t("ab", 20), t("long text", 12), t("cd", 12, y=100), t("ef", 12, bold=True)]) == [12, 12, 20, 12, 12, 12]  # 20 would make the cluster span 1.67
+    assert folds.groups([t("10%", 12), t("ab", 12), t("20%", 9, color="#302020"), t("cd", 12, color="#D43E3E"), t("中", 12), t("de", 12)]) == [0, 1, 0, 2, 3, 1]
+    assert folds.majority_bold([t("a", 1, bold=True), t("b", 1), t("c", 1), t("d", 1, bold=True)], [0, 0, 1, 2]) == [True, True, False, True]
+    assert folds.colours([t("a", 1), t("b", 1, x=50), t("c", 1, x=900)]) == [0, 1, 0] and folds.colours([t("a", 1)] * 14).count(-1) == 2
+    got = slides.slide_folds(spark, sf_dir).collect()
+    assert len(got) == slides.items(spark, sf_dir).count() and all(r["unified_size"] <= r["size"] for r in got)
