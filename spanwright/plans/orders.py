@@ -73,7 +73,7 @@ def majority_vote(spark, d):
 
 @query("""WITH j AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority AS mode, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' ELSE 'queued' END AS status, pages, secs FROM orders JOIN (SELECT l_orderkey, count(*) AS pages, sum(l_quantity) AS secs FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 h AS (SELECT mode, avg(secs / pages) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM j WHERE status = 'done') WHERE rn <= 20 GROUP BY mode)
-SELECT o_orderkey, status, (SELECT count(*) FROM j WHERE status = 'running') + row_number() OVER (PARTITION BY status ORDER BY o_orderdate, o_orderkey) - CASE WHEN status = 'running' THEN (SELECT count(*) FROM j WHERE status = 'running') ELSE 0 END - 1 AS ahead, round(pages * coalesce(rate, 60), 4) AS eta_seconds
+SELECT o_orderkey, status, (SELECT count(*) FROM j WHERE status = 'running') + row_number() OVER (PARTITION BY status ORDER BY o_orderdate, o_orderkey) - CASE WHEN status = 'running' THEN (SELECT count(*) FROM j WHERE status = 'running') ELSE 0 END - 1 AS ahead, round(pages * coalesce(rate, 60), 6) AS eta_seconds
 FROM j LEFT JOIN h USING (mode) WHERE status IN ('running', 'queued')""")
 def queue_eta(spark, d):
     """Orders as jobs: how many are ahead in the queue, and seconds to go from the last 20 done of the mode. Places in the queue
@@ -90,7 +90,7 @@ def queue_eta(spark, d):
     at = F.row_number().over(Window.partitionBy("status", "day").orderBy("o_orderdate", "o_orderkey"))
     out = live.withColumn("at", at).join(days.select("status", "day", "before"), ["status", "day"]).join(rate, "mode", "left")
     ahead = F.col("before") + F.col("at") - 1 + F.when(F.col("status") == "queued", F.lit(running)).otherwise(0)
-    return out.select("o_orderkey", "status", ahead.alias("ahead"), F.round(F.col("pages") * F.coalesce("rate", F.lit(60.0)), 4).alias("eta_seconds"))
+    return out.select("o_orderkey", "status", ahead.alias("ahead"), F.round(F.col("pages") * F.coalesce("rate", F.lit(60.0)), 6).alias("eta_seconds"))
 
 
 @query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'F') AS active, count(*) AS total FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderstatus <> 'F') >= 2""")
