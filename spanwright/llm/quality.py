@@ -5,7 +5,7 @@ compared with a reference histogram for each language by the Jensen-Shannon dist
 references are summed over all labelled documents that pass the base rules; a document is rejected when it is far from
 every reference, where far in words is relative to a document that has no common word at all. Labels
 without listed words get a reference from their own documents, with their most frequent words as
-bins, and are judged by that one alone. Words count in any case and without punctuation at their ends. Short documents are too noisy for that, so each histogram has a least length.
+bins, and are judged by that one alone. Words count in any case and without a single mark of punctuation at an end. Short documents are too noisy for that, so each histogram has a least length.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are
 judged alike, and one at a threshold stays; a very long text is read whole; an empty table gives an empty result; a language label without a reference (no
@@ -39,7 +39,7 @@ MIN_CHARS, MIN_HIST_WORDS = 200, 60
 MAX_CHAR_DISTANCE = 0.25
 #: Largest distance to the nearest reference of words, as a share of the distance that a document without common words has from it:
 #: common words are a fifth of a text, so that distance is about 0.33 and not near 1.
-MAX_WORD_SHARE = 0.9
+MAX_WORD_SHARE = 0.85
 #: Bins of a reference that is learned from a label's own documents.
 OWN_BINS = 40
 #: Punctuation that may stand at a word's ends.
@@ -62,6 +62,12 @@ def _paired(hashes: Column, step: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, F.lit(1 + step), F.greatest(F.size(hashes), F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
+def _plain(w: Column) -> Column:
+    """A word in lower case and without a single mark at an end; with more marks it is no plain word and stays as it is."""
+    core = F.btrim(w, F.lit(EDGES))
+    return F.lower(F.when(F.length(core) >= F.length(w) - 1, core).otherwise(w))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs with the columns __q_*: counts for the base rules and the two histograms. Each step is a column, so that none is
     computed twice; windows of eight words come from pairs of pairs of pairs of word hashes."""
@@ -71,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumns({
         f"{P}lines": lines,
         f"{P}hashes": F.transform(f"{P}words", lambda w: F.xxhash64(w)),
-        f"{P}lowered": F.transform(f"{P}words", lambda w: F.xxhash64(F.btrim(F.lower(w), F.lit(EDGES)))),  # for the histogram only
+        f"{P}lowered": F.transform(f"{P}words", lambda w: F.xxhash64(_plain(w))),  # for the histogram only
         f"{P}word_chars": F.length(F.array_join(f"{P}words", "")).cast("long"),
         f"{P}rest": F.regexp_replace(t, r"[a-z\x20]+", ""),  # what the counts of classes look at
         f"{P}n_chars": F.length(t).cast("long"),
