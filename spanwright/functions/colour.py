@@ -13,6 +13,13 @@ WHITE, RED, BLUE, BLACK = "#FFFFFF", "#D43E3E", "#054798", "#222222"
 REACH = {"white": 38, "black": 38, "blue": 78, "red": 78, "gray": 78}
 
 
+def reach(family: Column) -> Column:
+    out = F.lit(45)
+    for name, by in REACH.items():
+        out = F.when(family == name, by).otherwise(out)
+    return out
+
+
 class Colour(NamedTuple):
     r: Column
     g: Column
@@ -51,10 +58,7 @@ class Colour(NamedTuple):
 
     def compatible(self, other: Colour) -> Column:
         """Of one family, and as near as it allows."""
-        reach = F.lit(45)
-        for family, by in REACH.items():
-            reach = F.when(self.family == family, by).otherwise(reach)
-        return (self.family == other.family) & (self.distance(other) <= reach)
+        return (self.family == other.family) & (self.distance(other) <= reach(self.family))
 
     def canonical(self, ground: Colour) -> Column:
         """The colour of text that samples of this colour on that ground stand for."""

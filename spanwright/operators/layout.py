@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.colour import Colour
+from ..functions.colour import Colour, reach
 from ..functions.geometry import Box
 from .joins import box_join
 
@@ -58,8 +58,17 @@ def siblings(containers: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on).filter(like & (row | col)).drop(*(f"b_{k}" for k in keys), "a_step", "b_step")
 
 
+#: What a text's colour and words say, worked out once a text and not once a pair.
+_LOOKS = ("r", "g", "b", "family", "visible", "label")
+
+
+def _looks(texts: DataFrame) -> DataFrame:
+    c = Colour.parse(F.col("color"))
+    return texts.withColumns({"r": c.r, "g": c.g, "b": c.b, "family": c.family, "visible": tx.visible_length(F.col("text")), "label": tx.compact_label(F.col("text"))})
+
+
 def _with(d: DataFrame, texts: DataFrame, keys: list[str], side: str) -> DataFrame:
-    t = texts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("id").alias("__id"), *(F.col(c).alias(f"{side}_{c}") for c in ("text", "x1", "y1", "x2", "y2", "size", "bold", "align", "color", "marker")))
+    t = texts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("id").alias("__id"), *(F.col(c).alias(f"{side}_{c}") for c in (*_LOOKS, "x1", "y1", "x2", "y2", "size", "bold", "align", "marker")))
     on = F.col(f"{side}_id") == F.col("__id")
     for k in keys:
         on &= F.col(k) == F.col(f"__{k}")
@@ -96,19 +105,23 @@ def style_edges(texts: DataFrame, containers: DataFrame, keys: list[str], cell:
     band = (F.least(p[1], q[1]) >= 0.45) & (off[0] <= 0.12) & (off[1] <= 0.12) & (off[3] <= 0.12)
     apart = pairs.select(*keys, "a_id", "b_id", F.lit(None).cast(shared.schema["scope"].dataType).alias("scope"), no.alias("same_parent"), F.lit(True).alias("near"), slot.alias("slot"), band.alias("band"))
     d = shared.unionByName(apart).groupBy(*keys, "a_id", "b_id").agg(F.min("scope").alias("scope"), *(F.max(c).alias(c) for c in ("same_parent", "near", "slot", "band")))
-    d = _with(_with(d, texts, keys, "a"), texts, keys, "b")
+    looks = _looks(texts)
+    d = _with(_with(d, looks, keys, "a"), looks, keys, "b")
 
     a, b = Box.of("a_"), Box.of("b_")
-    ca, cb = Colour.parse(F.col("a_color")), Colour.parse(F.col("b_color"))
+    ca, cb = (Colour(*(F.col(f"{side}_{c}") for c in "rgb")) for side in "ab")
+    family = F.col("a_family")
+    one_family = family == F.col("b_family")
+    near = one_family & (ca.distance(cb) <= reach(family))
     sizes, align = [F.col(f"{s}_size").cast("double") for s in "ab"], F.col("a_align") == F.col("b_align")
     ratio = F.greatest(*sizes) / F.greatest(F.lit(1.0), F.least(*sizes))
     delta = F.abs(sizes[0] - sizes[1])
-    style = align & (F.least(*sizes) > 0) & (delta <= SIZE_DELTA) & (ratio <= 1.75) & ca.compatible(cb)
+    style = align & (F.least(*sizes) > 0) & (delta <= SIZE_DELTA) & (ratio <= 1.75) & near
     bold, unmarked = F.col("a_bold") & F.col("b_bold"), ~F.col("a_marker") & ~F.col("b_marker")
-    blue = (ca.family == "blue") & (cb.family == "blue")
-    compact = (~style & align & blue & ca.compatible(cb) & bold & unmarked & tx.compact_label(F.col("a_text")) & tx.compact_label(F.col("b_text")) & (F.least(*sizes) >= 20) & (delta > SIZE_DELTA) & (ratio <= 1.45) & (delta <= 14.0))
-    va, vb = tx.visible_length(F.col("a_text")), tx.visible_length(F.col("b_text"))
-    alert = F.col("band") & (ca.family == "red") & (cb.family == "red") & bold & unmarked & (F.least(va, vb) >= 6)
+    blue = one_family & (family == "blue")
+    compact = (~style & align & blue & near & bold & unmarked & F.col("a_label") & F.col("b_label") & (F.least(*sizes) >= 20) & (delta > SIZE_DELTA) & (ratio <= 1.45) & (delta <= 14.0))
+    va, vb = F.col("a_visible"), F.col("b_visible")
+    alert = F.col("band") & one_family & (family == "red") & bold & unmarked & (F.least(va, vb) >= 6)
     ah, bh = F.greatest(F.lit(1.0), a.y2 - a.y1), F.greatest(F.lit(1.0), b.y2 - b.y1)
     gap = F.when(a.y1 <= b.y1, b.y1 - a.y2).otherwise(a.y1 - b.y2)
     has_scope = F.col("scope").isNotNull()
