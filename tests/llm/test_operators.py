@@ -441,6 +441,64 @@ def test_near_copies_of_any_length(spark):
         assert (got[i] == got[i + 1]) == near, (i, want[i])
 
 
+def test_wide_fingerprint():
+    """A bit is 1 if set in over half of the widened hashes; texts of a similarity of 0.8 differ in about 0.15 of the bits, unlike ones in half."""
+    import numpy as np
+
+    top, odd = (1 << 64) - 1, [int(x) for x in near_copies.ODD]
+    found = near_copies.shingle_set(" ".join(f"w{i}" for i in range(700)))
+    set_in = Counter()
+    for h in found.tolist():
+        for k in range(near_copies.BITS // 64):
+            x = h * odd[k] & top
+            x = (x ^ x >> 29) * odd[near_copies.BITS // 64] & top
+            set_in.update(64 * k + b for b in range(64) if (x ^ x >> 32) >> b & 1)
+    got = near_copies.fingerprint(found).view(np.uint64).tolist()
+    assert [got[b // 64] >> b % 64 & 1 for b in range(near_copies.BITS)] == [2 * set_in[b] > len(found) for b in range(near_copies.BITS)]
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 2000, np.uint64)
+    a, b, c = (near_copies.fingerprint(x).view(np.uint64) for x in (hashes[:900], hashes[100:1000], hashes[1100:]))
+    assert 45 < np.bitwise_count(a ^ b).sum() < 110 and np.bitwise_count(a ^ c).sum() > 200
+
+
+@pytest.mark.parametrize("slots, shared, tables, width", [(4, 0, 3, 9), (6, 2, 3, 9)])
+def test_near_copies_trie_join(spark, slots, shared, tables, width):
+    """The tries find what all pairs of fingerprints hold: within the budget in a table's bits and in all; each pair once, and a forest that joins the same."""
+    from functools import partial
+
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        base = rnd.integers(0, 1 << 62, 60, np.uint64)
+        sets += [np.unique(np.r_[base[k:], rnd.integers(0, 1 << 62, k, np.uint64)]) for k in rnd.integers(0, 25, 5).tolist()]
+    fps = [near_copies.fingerprint(x) for x in sets]
+    nodes = spark.createDataFrame([(i, f.tolist(), near_copies.sketch(x).tolist()) for i, (f, x) in enumerate(zip(fps, sets))], "node long, fp array<long>, sketch array<long>")
+    bits = np.unpackbits(np.array(fps).view(np.uint8), axis=1, bitorder="little")
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            differ = bits[i] != bits[j]
+            near = differ.sum() <= near_copies.SPAN and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+            met = lambda s, t: not differ[near_copies._order(s)[:shared]].any() and differ[near_copies._positions(s, t, shared, width)].sum() <= near_copies.BUDGET
+            if near and any(met(s, t) for s in range(slots) for t in range(tables)):
+                want.add((i, j))
+    given = near_copies.dealt(nodes.withColumn("size", F.get("sketch", F.lit(1))).select("node", "fp", "size"), slots, shared)
+    run = lambda forest: [tuple(r) for r in given.mapInArrow(partial(near_copies._pairs, shared=shared, tables=tables, width=width, forest=forest), "a long, b long").collect()]
+    got, few = run(False), run(True)
+    assert sorted(got) == sorted(want) and len(want) > 200
+    assert set(few) <= want and {x for pair in few for x in pair} == {x for pair in want for x in pair}
+    join = lambda pairs: sorted(simhash.forest(*np.array(sorted(pairs)).T))
+    assert join(few) == join(want)
+
+
+def test_near_copies_plan():
+    """Pairs of a similarity of 0.8 are in some table but for one in a million, whatever the number of fingerprints."""
+    for n in (0, 1, 300, 50_000, 3_000_000, 20_000_000):
+        slots, shared, tables, width = near_copies.plan(n)
+        assert near_copies.missed(slots, shared, tables, width) <= 1e-6 and n >> shared <= near_copies.DEALT and n <= 1 << width
+
+
 def test_near_dedup_stage(spark):
     import corpus_pipeline
 
