@@ -12,6 +12,9 @@ The filter has 8 to 16 bits for each pair, a number that is counted first, which
 suspects, and 2 ** MOST_BITS at most (128 MB, the bound of what is broadcast), enough for 130 million pairs. Beyond that it fills up: of half a billion 40 % are
 suspects, and with very many all shuffle (24 bytes a line), so the work stays in proportion to the corpus.
 
+A worker holds what Arrow hands it (64 MB of a table by default) and, of its own, one document with its lines and digests, HELD pairs or HELD_BYTES of
+texts to hand on, two filters or one. Filters are handed on segment by segment.
+
 A line in a third of all documents sets the same bits again and again, and its suspects are combined before they shuffle; the join that tells its
 documents is on a written table, so that it may be split.
 
@@ -41,6 +44,8 @@ LEAST_BITS, MOST_BITS, SEGMENTS = 14, 30, 64
 MERGED, MOST_SALTS = 1 << 22, 64
 #: Rows of a batch whose bits are set at once.
 ROWS = 1 << 20
+#: Pairs and bytes of kept texts that a worker gathers before it hands them on, besides the last document's.
+HELD, HELD_BYTES = 1 << 15, 1 << 22
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -51,23 +56,46 @@ def key_of(line: bytes) -> bytes | None:
     return key
 
 
-def _digest(key: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+#: A key's digest, 16 bytes; its halves as the tables hold them are signed, and 2 ** 63 less.
+_digest = xxhash.xxh3_128_digest
+
+
+def _halves(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The high and the low halves of digests that stand one behind the other."""
+    u = np.frombuffer(digests, ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    return u[::2].view(np.int64), u[1::2].view(np.int64)
+
+
+def _digests(hi: np.ndarray, lo: np.ndarray) -> set[bytes]:
+    """The digests of such halves."""
+    raw = (np.stack([hi, lo], 1).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes()
+    return {raw[i:i + 16] for i in range(0, len(raw), 16)}
+
+
+def _bytes(texts: pa.Array) -> Iterator[bytes]:
+    """Texts as UTF-8, one at a time; null is empty."""
+    for t in texts:
+        yield t.as_buffer().to_pybytes() if t.is_valid else b""
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch() -> pa.RecordBatch:
+        columns = np.repeat(np.array(ids, np.int64), np.array(counts, np.int64)), *_halves(bytes(digests))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "hi", "lo"])
+
     for b in batches:
-        ids, hi, lo = [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if i is None or not t:
+        ids, counts, digests = [], [], bytearray()
+        for i, t in zip(b.column(0), _bytes(b.column(1))):
+            if not i.is_valid or not t:
                 continue
-            for key in {k for line in t.encode().split(b"\n") if (k := key_of(line)) is not None}:
-                x, y = _digest(key)
-                ids.append(i)
-                hi.append(x)
-                lo.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["id", "hi", "lo"])
+            found = {_digest(k) for line in t.split(b"\n") if (k := key_of(line)) is not None}
+            ids.append(i.as_py())
+            counts.append(len(found))
+            digests += b"".join(found)
+            if len(digests) >= 16 * HELD:
+                yield batch()
+                ids, counts, digests = [], [], bytearray()
+        yield batch()
 
 
 def filter_bits(pairs: int) -> int:
@@ -133,11 +161,13 @@ class Filters:
         self.twice[segment] |= t | (self.once[segment] & o)
         self.once[segment] |= o
 
-    def parts(self) -> pa.RecordBatch:
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        """One segment at a time; this filter forgets what it has handed on."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        segments = sorted(self.once)
-        return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array([pack(self.once[k].tobytes()) for k in segments], pa.binary()),
-                                           pa.array([pack(self.twice[k].tobytes()) if k in self.twice else None for k in segments], pa.binary())], ["segment", "once", "twice"])
+        for k in sorted(self.once):
+            once, twice = self.once.pop(k), self.twice.pop(k, None)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(once.tobytes())], pa.binary()),
+                                              pa.array([pack(twice.tobytes()) if twice is not None else None], pa.binary())], ["segment", "once", "twice"])
 
 
 PARTS = "segment int, once binary, twice binary"
@@ -151,14 +181,14 @@ def twice_filter(pairs: DataFrame, n: int, bits: int) -> list[bytes | None]:
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 f.add(b.column(0)[lo:lo + ROWS].to_numpy(), b.column(1)[lo:lo + ROWS].to_numpy())
-        yield f.parts()
+        yield from f.parts()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(bits)
         for b in batches:
             for segment, once, twice in zip(*(c.to_pylist() for c in (b.column("segment"), b.column("once"), b.column("twice")))):
                 f.merge(segment, once, twice)
-        yield f.parts()
+        yield from f.parts()
 
     tasks = -(-n // MERGED)
     salts = min(MOST_SALTS, -(-tasks // SEGMENTS))
@@ -180,7 +210,10 @@ def suspects(pairs: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << (width - 3)
-        bitmap = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) if x else np.zeros(size, np.uint8) for x in shared.value])
+        bitmap = np.zeros(SEGMENTS * size, np.uint8)
+        for k, x in enumerate(shared.value):
+            if x:
+                bitmap[k * size:(k + 1) * size] = np.frombuffer(zstandard.decompress(x), np.uint8)
         for b in batches:
             hits = np.logical_and.reduce([bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _places(b.column("hi").to_numpy(), bits)]) if b.num_rows else np.zeros(0, bool)
             yield b.filter(pa.array(hits.astype(bool)))
@@ -201,18 +234,24 @@ def drops(docs: DataFrame) -> DataFrame:
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace text (second column) by what is kept; add the two counts. The last column has the digests to drop."""
     for b in batches:
-        texts, n, gone_n = [], [], []
-        for t, gone in zip(b.column("__l_text").to_pylist(), b.column("__l_gone").to_pylist()):
-            lines = (t or "").encode().split(b"\n")
+        keep = [i for i, f in enumerate(b.schema.names) if f not in ("__l_text", "__l_gone")]
+        names = [*(b.schema.names[i] for i in keep), "__l_kept", "__l_lines", "__l_dropped"]
+        lists = b.column("__l_gone")
+        hi, lo = (lists.values.field(k).to_numpy() for k in ("hi", "lo"))
+        ends = lists.offsets.to_numpy()
+        done, held, texts, n, gone_n = 0, 0, [], [], []
+        for row, t in enumerate(_bytes(b.column("__l_text"))):
+            lines = t.split(b"\n")
             n.append(len(lines))
-            if gone:
-                gone = {(g["hi"], g["lo"]) for g in gone}
+            if ends[row] < ends[row + 1] and lists[row].is_valid:
+                gone = _digests(hi[ends[row]:ends[row + 1]], lo[ends[row]:ends[row + 1]])
                 lines = [x for x in lines if (k := key_of(x)) is None or _digest(k) not in gone]
             gone_n.append(n[-1] - len(lines))
-            texts.append(b"\n".join(lines).decode())
-        keep = [i for i, f in enumerate(b.schema.names) if f not in ("__l_text", "__l_gone")]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone_n, pa.int64())],
-                                         [*(b.schema.names[i] for i in keep), "__l_kept", "__l_lines", "__l_dropped"])
+            texts.append(b"\n".join(lines))
+            held += len(texts[-1])
+            if held >= HELD_BYTES or row == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(done, len(n)) for i in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone_n, pa.int64())], names)
+                done, held, texts, n, gone_n = row + 1, 0, [], [], []
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -315,6 +315,51 @@ def test_filters_miss_no_repeat(spark, monkeypatch):
     assert want <= {(r["id"], r["hi"]) for r in line_dedup.suspects(d).collect()}
 
 
+def test_line_dedup_holds_little():
+    """What a worker gathers does not grow with a batch: 300,000 lines, of which every second document loses all."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def halves(line):
+        h = xxhash.xxh3_128_intdigest(line)
+        return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+    def most(batches, see):
+        tracemalloc.start()
+        try:
+            for b in batches:
+                see(b)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    texts = ["\n".join(f"line {i} {j} of all" for j in range(300)) for i in range(1000)]
+    gone = [None if i % 2 else [halves(x.encode()) for x in t.split("\n")] for i, t in enumerate(texts)]
+    want = {(i, *halves(x.encode())) for i, t in enumerate(texts[::100]) for x in t.split("\n")}
+    ids, got, sizes, kept = pa.array(range(1000), pa.int64()), set(), [], []
+
+    def pairs_seen(b):
+        sizes.append(b.num_rows)
+        i = b.column(0).to_numpy()
+        for x in np.flatnonzero(i % 100 == 0):
+            got.add((int(i[x]) // 100, b.column(1)[x].as_py(), b.column(2)[x].as_py()))
+
+    assert most(line_dedup._pairs(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])])), pairs_seen) < 12e6
+    assert got == want and sum(sizes) == 300_000 and max(sizes) <= line_dedup.HELD + 300
+
+    digests = pa.array([g and [{"hi": x, "lo": y} for x, y in g] for g in gone], pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64())])))
+    b = pa.RecordBatch.from_arrays([ids, pa.array(texts), digests], ["doc_id", "__l_text", "__l_gone"])
+    assert most(line_dedup._apply(iter([b])), lambda b: kept.append(b)) < 16e6
+    assert [tuple(r.values()) for b in kept for r in b.to_pylist()] == [(i, t if i % 2 else "", 300, 0 if i % 2 else 300) for i, t in enumerate(texts)]
+
+    f = line_dedup.Filters(20)
+    f.add(np.arange(5000), np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
+    segments = [(b.num_rows, b.column("segment")[0].as_py()) for b in f.parts()]
+    assert segments == [(1, k) for k in sorted({k for _, k in segments})] and segments and not f.once
+
+
 # 4 -------------------------------------------------------------------------------------------
 def brute_fp(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
