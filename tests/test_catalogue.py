@@ -227,3 +227,14 @@ def test_sources(spark, tmp_path):
 
 def test_tables_ship_once(spark, sf_dir):
     assert table(spark, sf_dir, "region").count() == 5
+
+
+def test_cv_gate_on_the_gate(spark, tmp_path):
+    """Parts of a deviation of half their mean, for which the running formula gives a little more in this order."""
+    on_gate = [[43, 37, 5, 19, 36], [4, 42, 36, 35, 41, 33, 34, 29, 6, 12], [37, 39, 21, 7]]
+    others = {100: [61.0, 61.0, 189.0, 189.0], 101: [-13.0, -39.0], 102: [0.0], 103: [0.5, 1.5], 104: [None]}
+    rows = [(k, None if x is None else float(x)) for k, q in (*enumerate(on_gate), *others.items()) for x in q]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["l_partkey"]: (r["cv"], r["steady"]) for r in orders.cv_gate(spark, str(tmp_path)).collect()}
+    assert all(got[k] == (0.5, True) for k in range(3))
+    assert [got[k] for k in others] == [(0.512, False), (1e308, True), (1e308, False), (0.5, True), (None, False)]
