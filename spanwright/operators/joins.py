@@ -42,6 +42,28 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, wi
     return lc.join(rc, on & (F.abs(F.col(f"{a}{value}") - F.col(f"{b}{value}")) <= width)).drop("__lb", "__rb")
 
 
+def without_near(df: DataFrame, row_id: str, keys: list[str], at: str, width: int, value: str, reach: float) -> DataFrame:
+    """Rows without a row of another id and equal keys whose whole number at differs by width at most and whose value by reach at most; what is unknown or no finite number is near
+    nothing. Rows of a cell that is no wider than both bounds and has two ids have company. Only ids alone in their cell are held against the cells around,
+    so a row meets 15 of them at most, however many rows are near one another."""
+    known = F.abs(F.col(value)) < float("inf")
+    for c in (row_id, *keys, at):
+        known &= F.col(c).isNotNull()
+    known = F.coalesce(known, F.lit(False))
+    side = reach * 0.52  # two steps of this pass reach, one does not
+    place = {"__a": F.col(at) - F.pmod(F.col(at), F.lit(width)), "__v": F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), F.col(value) / side)))}
+    d, cell = df.filter(known).withColumns(place), [*keys, "__a", "__v"]
+    wide = (F.max(at) - F.min(at) > width) | (F.max(value) - F.min(value) > reach)
+    company = d.groupBy(*cell).agg((F.min(row_id) < F.max(row_id)).alias("__two"), wide.alias("__wide")).filter("__two and not __wide").select(*cell)
+    alone = d.join(company, cell, "left_anti")
+    row = [row_id, *keys, at, value]
+    around = alone.select(*row, *cell[len(keys):]).distinct().withColumn("__a", F.explode(F.array(*(F.col("__a") + i * width for i in (-1, 0, 1)))))
+    around = around.withColumn("__v", F.explode(F.array(*(F.col("__v") + i for i in range(-2, 3))))).select(*cell, *(F.col(c).alias(f"__own_{c}") for c in (row_id, at, value)))
+    near = (F.col(row_id) != F.col(f"__own_{row_id}")) & (F.abs(F.col(at) - F.col(f"__own_{at}")) <= width) & (F.abs(F.col(value) - F.col(f"__own_{value}")) <= reach)
+    met = around.join(d, cell).filter(near).select(*keys, *(F.col(f"__own_{c}").alias(c) for c in (row_id, at, value))).distinct()
+    return df.filter(~known).unionByName(alone.join(met, row, "left_anti").select(*df.columns))
+
+
 def correct(base: DataFrame, fixes: DataFrame, keys: list[str], text: str, fix: str) -> DataFrame:
     """base with fixes merged in: outcome skip (no fix), confirm (equal), preserve (empty) or replace, and the text that results."""
     d = base.join(fixes.select(*keys, F.col(fix).alias("__fix")), keys, "left")

@@ -95,10 +95,9 @@ def dominant_value(spark, d):
 @query(f"""WITH e AS (SELECT event_id, event_type, value, epoch_us(ts) AS us FROM events)
 SELECT event_id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event_type = a.event_type AND b.event_id <> a.event_id AND abs(a.us - b.us) <= 1800 * {US}::BIGINT AND abs(a.value - b.value) <= 50)""")
 def band_isolated(spark, d):
-    """Events without another of their type near in time and value: a band join in buckets, then an anti join."""
+    """Events without another of their type near in time and value: an anti join on what has company."""
     e = events(spark, d).select("event_id", "event_type", "value", "us")
-    near = joins.band_join(e, e, ["event_type"], "us", 1800 * US).filter((F.col("l_event_id") != F.col("r_event_id")) & (F.abs(F.col("l_value") - F.col("r_value")) <= 50))
-    return e.join(near.select(F.col("l_event_id").alias("event_id")), "event_id", "left_anti").select("event_id")
+    return joins.without_near(e, "event_id", ["event_type"], "us", 1800 * US, "value", 50.0).select("event_id")
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_last20 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20 GROUP BY event_type""")

@@ -238,3 +238,19 @@ def test_cv_gate_on_the_gate(spark, tmp_path):
     got = {r["l_partkey"]: (r["cv"], r["steady"]) for r in orders.cv_gate(spark, str(tmp_path)).collect()}
     assert all(got[k] == (0.5, True) for k in range(3))
     assert [got[k] for k in others] == [(0.512, False), (1e308, True), (1e308, False), (0.5, True), (None, False)]
+
+
+def test_band_isolated_odd_and_dense(spark, tmp_path, monkeypatch):
+    """Against its SQL: rows that share an id, unknown values, bounds that are just met, and many events at one place, which are not paired."""
+    s = 1_000_000
+    rows = [(1, 0, "a", 10.0), (1, 9_000 * s, "a", 10.0), (2, 1800 * s, "a", 60.0), (3, 1800 * s + 1, "b", 10.0), (4, 0, "b", 10.0), (5, 0, "b", 60.5), (6, 0, "c", None), (7, 0, None, 1.0), (None, 0, "c", 1.0), (8, 0, "c", 1.0), (9, None, "c", 1.0),
+            (10, 0, "d", float("inf")), (11, 0, "d", float("inf")), (12, 0, "d", float("nan")), (13, 0, "e", 75.0), (14, -1800 * s, "e", 25.0), (15, 0, "f", 1e300), (16, 5, "f", 1e300), (17, 0, "g", 5.0), (17, 0, "g", 5.0)]
+    rows += [(1000 + i, 40_000 * s + i, "a", 300.0 + i % 20) for i in range(3000)] + [(9000 + i, (50_000 + 1000 * i) * s, "a", 37.0 * (i % 7)) for i in range(200)]
+    d = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double").selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) as ts", "event_type", "value")
+    d.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    monkeypatch.setattr(joins, "band_join", None)
+    show_id = lambda r: -1 if r[0] is None else r[0]
+    got = sorted(map(show_id, events.band_isolated(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(show_id, c.execute(catalogue.ORACLES["band_isolated"]).fetchall())) and 1 in got and 14 not in got
