@@ -117,3 +117,12 @@ def visible_to(events: DataFrame, users: DataFrame, owner: str) -> DataFrame:
     admins = users.filter("is_admin").agg(F.collect_list("user_id").alias("__a")).withColumn("__one", F.lit(1))
     every = events.withColumn("__one", F.lit(1)).join(F.broadcast(admins), "__one").select(F.explode("__a").alias("user_id"), *events.columns)
     return own.unionByName(every)
+
+
+def visible_counts(counts: DataFrame, users: DataFrame, owner: str) -> DataFrame:
+    """(user_id, n, first_id, last_id) of what each user may see, as visible_to says, from counts by owner: an admin's are those of all together, so that no row is made
+    for each pair of an admin and an event. A user listed more than once counts as often."""
+    u = users.groupBy("user_id").agg(F.count_if("is_admin").alias("__all"), F.count_if(~F.col("is_admin")).alias("__own"))
+    every = counts.agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")).filter("n > 0")
+    own = u.filter("__own > 0").join(counts.withColumnRenamed(owner, "user_id"), "user_id").select("user_id", (F.col("n") * F.col("__own")).alias("n"), "first_id", "last_id")
+    return own.unionByName(u.filter("__all > 0").crossJoin(F.broadcast(every)).select("user_id", (F.col("n") * F.col("__all")).alias("n"), "first_id", "last_id"))

@@ -254,3 +254,16 @@ def test_band_isolated_odd_and_dense(spark, tmp_path, monkeypatch):
     show_id = lambda r: -1 if r[0] is None else r[0]
     got = sorted(map(show_id, events.band_isolated(spark, str(tmp_path)).collect()))
     assert got == sorted(map(show_id, c.execute(catalogue.ORACLES["band_isolated"]).fetchall())) and 1 in got and 14 not in got
+
+
+def test_visible_jobs_makes_no_pairs(spark, sf_dir, monkeypatch):
+    """Against a plain version, without a row for each pair of an admin and a job; a user listed twice counts twice."""
+    from spanwright.plans import grids
+    from spanwright.sinks import documents
+
+    monkeypatch.setattr(documents, "visible_to", None)
+    assert grids.visible_jobs(spark, sf_dir).count() > 0
+    users = spark.createDataFrame([(1, True), (2, False), (2, False), (3, False), (None, False)], "user_id long, is_admin boolean")
+    counts = spark.createDataFrame([(1, 2, 5, 9), (2, 1, 3, 3), (None, 1, 1, 1)], "owner_id long, n long, first_id long, last_id long")
+    assert sorted(tuple(r) for r in documents.visible_counts(counts, users, "owner_id").collect()) == [(1, 4, 1, 9), (2, 2, 3, 3)]
+    assert documents.visible_counts(counts.limit(0), users, "owner_id").count() == 0
