@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import STAT_UNITS
+from . import groups as passes
 
 #: Ranges of ideographs.
 CJK = re.compile("[一-鿿㐀-䶿豈-﫿]")
@@ -22,8 +22,11 @@ def _rgb(c) -> tuple[int, ...] | None:
 
 
 def close(a, b, by: int = 25) -> bool:
-    x, y = _rgb(a), _rgb(b)
-    return (a or "") == (b or "") if x is None or y is None else all(abs(i - j) <= by for i, j in zip(x, y))
+    return _close(a, b, _rgb(a), _rgb(b), by)
+
+
+def _close(a, b, x: tuple | None, y: tuple | None, by: int = 25) -> bool:
+    return (a or "") == (b or "") if x is None or y is None else abs(x[0] - y[0]) <= by and abs(x[1] - y[1]) <= by and abs(x[2] - y[2]) <= by
 
 
 def bucket(text: str) -> str:
@@ -40,12 +43,14 @@ def unified(texts: list[dict], ratio: float = 1.6) -> list[int]:
             part[i] = i = part[part[i]]
         return i
 
+    kind, rgb = [(bool(t["bold"]), bucket(t["text"])) for t in texts], [_rgb(t["color"]) for t in texts]
     for i, a in enumerate(texts):
         for j in range(i + 1, len(texts)):
+            if kind[i] != kind[j] or max(sizes[i], sizes[j]) > ratio * max(1, min(sizes[i], sizes[j])):
+                continue
             b = texts[j]
             over = max(0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-            like = bool(a["bold"]) == bool(b["bold"]) and bucket(a["text"]) == bucket(b["text"]) and close(a["color"], b["color"])
-            if not like or over < 0.5 * min(a["y2"] - a["y1"], b["y2"] - b["y1"]) or max(sizes[i], sizes[j]) > ratio * max(1, min(sizes[i], sizes[j])):
+            if over < 0.5 * min(a["y2"] - a["y1"], b["y2"] - b["y1"]) or not _close(a["color"], b["color"], rgb[i], rgb[j]):
                 continue
             p, q = root(i), root(j)
             least, most = min(low[p], low[q]), max(high[p], high[q])
@@ -57,15 +62,17 @@ def unified(texts: list[dict], ratio: float = 1.6) -> list[int]:
 def groups(texts: list[dict]) -> list[int]:
     """A group for each text: that of the first text of its kind, close colour, like height and script that leads none other."""
     kind = lambda t: "stat" if len(x := "".join(t.split())) <= 8 and STAT.fullmatch(x) else bucket(t)
+    like = [(kind(t["text"]), bool(CJK.search(t["text"]))) for t in texts]
+    rgb, tall = [_rgb(t["color"]) for t in texts], [t["y2"] - t["y1"] for t in texts]
     out: list[int | None] = [None] * len(texts)
+    lead = 0
     for i, a in enumerate(texts):
         if out[i] is not None:
             continue
-        lead = len({g for g in out if g is not None})
         for j, b in enumerate(texts):
-            heights = sorted((a["y2"] - a["y1"], b["y2"] - b["y1"]))
-            if j == i or out[j] is None and kind(a["text"]) == kind(b["text"]) and close(a["color"], b["color"]) and heights[1] <= heights[0] * 1.25 and bool(CJK.search(a["text"])) == bool(CJK.search(b["text"])):
+            if j == i or out[j] is None and like[i] == like[j] and max(tall[i], tall[j]) <= min(tall[i], tall[j]) * 1.25 and _close(a["color"], b["color"], rgb[i], rgb[j]):
                 out[j] = lead
+        lead += 1
     return out
 
 
@@ -96,16 +103,12 @@ def colours(texts: list[dict], palette: int = 12) -> list[int]:
 
 def folded(texts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """texts with unified_size, style_group, group_bold and calibration_colour; sizes that were measured stay out of the first."""
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        rows = pdf.to_dict("records")
+    def one(rows: list[dict]) -> list[tuple]:
         free = [i for i, r in enumerate(rows) if r.get("size_source") not in MEASURED]
         sizes = [int(r["size"]) for r in rows]
         for i, n in zip(free, unified([rows[i] for i in free])):
             sizes[i] = n
         of = groups(rows)
-        return pdf.assign(unified_size=sizes, style_group=of, group_bold=majority_bold(rows, of), calibration_colour=colours(rows))
+        return list(zip(sizes, of, majority_bold(rows, of), colours(rows)))
 
-    return texts.groupBy(*keys).applyInPandas(one, f"{own}, unified_size long, style_group long, group_bold boolean, calibration_colour long")
+    return passes.folded(texts, keys, [order], one, "unified_size long, style_group long, group_bold boolean, calibration_colour long")
