@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import groups
 from .joins import box_join
 
 CELL = "row int, col int, rowspan int, colspan int"
@@ -98,11 +99,10 @@ def detect(items: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates of every page. A page's rows are found by a running mean, which no window expresses, so a page is one group; pages are bounded."""
     own = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = candidates_of(pdf.sort_values(["y1", "x1"], kind="stable").to_dict("records"))
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **c} for c in found], columns=[*keys, "x1", "y1", "x2", "y2", "rows", "cols", "cells_used", "density"])
+    def one(rows: list[dict]) -> list[tuple]:
+        return [(*(rows[0][k] for k in keys), *c.values()) for c in candidates_of(rows)]
 
-    return items.groupBy(*keys).applyInPandas(one, f"{own}, x1 long, y1 long, x2 long, y2 long, rows int, cols int, cells_used int, density double")
+    return groups.mapped(items, keys, ["y1", "x1", "y2", "x2"], one, f"{own}, x1 long, y1 long, x2 long, y2 long, rows int, cols int, cells_used int, density double")
 
 
 def cells_of(tokens: list[str]) -> list[tuple[int, int, int, int]]:

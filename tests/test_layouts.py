@@ -250,3 +250,22 @@ def test_passes_over_a_slide(spark, sf_dir):
     assert folds.colours([t("a", 1), t("b", 1, x=50), t("c", 1, x=900)]) == [0, 1, 0] and folds.colours([t("a", 1)] * 14).count(-1) == 2
     got = slides.slide_folds(spark, sf_dir).collect()
     assert len(got) == slides.items(spark, sf_dir).count() and all(r["unified_size"] <= r["size"] for r in got)
+
+
+def test_groups_across_batches(spark):
+    """Passes over groups that batches cut, and over none; the slides are read in batches, without a frame for each."""
+    from spanwright.operators import folds, groups
+
+    d = spark.createDataFrame([(k, i, f"t{k}") for k in range(40) for i in range(1 + k % 9)], "k long, i long, name string").repartition(3)
+    step = lambda rows: [(len(rows), [r["i"] for r in rows] == list(range(len(rows)))) for _ in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = groups.folded(d, ["k"], ["i"], step, "n long, ok boolean").collect()
+        few = groups.mapped(d, ["k"], ["i"], lambda rows: [(rows[0]["k"], len(rows))] if len(rows) > 5 else [], "k long, n int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == d.count() and all(r["n"] == 1 + r["k"] % 9 and r["ok"] and r["name"] == f"t{r['k']}" for r in got)
+    assert sorted(tuple(r) for r in few) == [(k, 1 + k % 9) for k in range(40) if k % 9 > 4]
+    assert groups.folded(d.limit(0), ["k"], ["i"], step, "n long, ok boolean").count() == 0
+    for out in (tables.detect(d.selectExpr("k as page", "i as x1", "i as y1", "i as x2", "i as y2"), ["page"]), folds.folded(d.selectExpr("k", "i", "name as text", "i as x1", "i as y1", "i as x2", "i as y2", "i as size", "true as bold", "name as color"), ["k"], "i")):
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
