@@ -14,6 +14,8 @@ IDEOGRAPH = r"[\x{4E00}-\x{9FFF}]"
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
 CJK_BROAD = r"[\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 SPACE = r"[\x20\x09-\x0D\x{00A0}\x{3000}]"
+#: White space of a line's ends, as characters.
+WHITE = " \t\n\x0b\x0c\r"
 #: Punctuation of CJK text and what it is compared as; units of a number; punctuation that no compact label has; opening bullets.
 PUNCTUATION = ("，。：；！？（）【】「」“”‘’／、～", ",.:;!?()[][]\"\"''/,~")
 STAT_UNITS = ["亿元", "PB", "MB", "GB", "TB", "分钟", "小时", "亿", "%", "个", "万", "轮", "条", "次", "倍", "年", "月", "天"]

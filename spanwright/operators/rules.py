@@ -16,13 +16,17 @@ def first_match(rules: list[tuple[Column, str]], otherwise: str | None = None) -
     return out.otherwise(F.lit(otherwise))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def consensus(engines: dict[str, tuple[str, str]], high: float = 0.95, moderate: float = 0.85, normalise=tx.normalise) -> Column:
     """struct(tier, reason, text) from three engines' texts and confidences, given as columns in order of preference: all empty, all equal once
     normalised, two equal, all within an edit of one another, one of high confidence, the best of moderate confidence, or disagreement.
     The reasons are fixed values."""
     e = [(F.coalesce(F.col(t), F.lit("")), F.coalesce(F.col(p), F.lit(0.0))) for t, p in engines.values()]
     (a, pa), (b, pb), (c, pc) = e
-    na, nb, nc = (normalise(x) for x, _ in e)
     made = lambda tier, reason, text: F.struct(F.lit(tier).alias("tier"), F.lit(reason).alias("reason"), text.alias("text"))
     surer = lambda x, y: F.when(F.round(y[1], 4) > F.round(x[1], 4), y[0]).otherwise(x[0])
     ascii_only = lambda x: x.rlike(r"^[\x00-\x7F]*$")
@@ -42,16 +46,21 @@ def consensus(engines: dict[str, tuple[str, str]], high: float = 0.95, moderate:
     over = [(p >= high) & (x != "") for x, p in e]
     longest = F.array_max(F.array(*(F.when(ok, F.struct(F.length(x).alias("n"), F.lit(-k).alias("k"), x.alias("x"))) for k, (ok, (x, _)) in enumerate(zip(over, e)))))["x"]
     among = F.when(tx.cjk_dominant(longest) & over[0], a).when(ascii_only(longest) & over[2], c).otherwise(top(over)[0])
-    edits = F.greatest(F.levenshtein(na, nb), F.levenshtein(na, nc), F.levenshtein(nb, nc))
-    return (F.when((na == "") & (nb == "") & (nc == ""), made("green", "C_all_empty", F.lit("")))
-            .when((na == nb) & (nb == nc), made("green", "A_strict_consensus", a))
-            .when((na == nb) & (na != ""), made("green", "B_majority", surer(e[0], e[1])))
-            .when((na == nc) & (na != ""), made("green", "B_majority", surer(e[0], e[2])))
-            .when((nb == nc) & (nb != ""), made("green", "B_majority", surer(e[1], e[2])))
-            .when((F.least(F.length(na), F.length(nb), F.length(nc)) >= 3) & (edits <= 1), made("yellow", "D_edit_close", best))
-            .when(over[0] | over[1] | over[2], made("yellow", "D_prime_single_high_conf", among))
-            .when(best_p >= moderate, made("yellow", "G_moderate_conf_fallback", best))
-            .otherwise(made("red", "F_disagree", best)))
+
+    def ladder(n: Column) -> Column:
+        na, nb, nc = n["a"], n["b"], n["c"]
+        close = (F.levenshtein(na, nb, 1) >= 0) & (F.levenshtein(na, nc, 1) >= 0) & (F.levenshtein(nb, nc, 1) >= 0)  # -1 beyond one edit; whole distances take the square of a line's length
+        return (F.when((na == "") & (nb == "") & (nc == ""), made("green", "C_all_empty", F.lit("")))
+                .when((na == nb) & (nb == nc), made("green", "A_strict_consensus", a))
+                .when((na == nb) & (na != ""), made("green", "B_majority", surer(e[0], e[1])))
+                .when((na == nc) & (na != ""), made("green", "B_majority", surer(e[0], e[2])))
+                .when((nb == nc) & (nb != ""), made("green", "B_majority", surer(e[1], e[2])))
+                .when((F.least(F.length(na), F.length(nb), F.length(nc)) >= 3) & close, made("yellow", "D_edit_close", best))
+                .when(over[0] | over[1] | over[2], made("yellow", "D_prime_single_high_conf", among))
+                .when(best_p >= moderate, made("yellow", "G_moderate_conf_fallback", best))
+                .otherwise(made("red", "F_disagree", best)))
+
+    return _bound(F.struct(*(normalise(x).alias(k) for k, (x, _) in zip("abc", e))), ladder)
 
 
 def rescue(tier: Column, reason: Column, suggested: Column, engines: list[Column], crop: Column, crop_p: Column, moderate: float = 0.85, normalise=tx.normalise) -> Column:
@@ -71,18 +80,18 @@ MARK_WORDS = ["UNIVERSITY", "UNNERTY", "INSTITUTE", "COLLEGE", "GROUP", "CORP",
 
 def clearing_rule(text: Column, confidence: Column, x1: Column, y1: Column, x2: Column, y2: Column, page_w: Column, page_h: Column) -> Column:
     """The first of six rules by which recognised text is decoration and no text to edit, or null. The names are fixed values."""
-    s = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    s = F.btrim(text, F.lit(tx.WHITE))
     n, cjk = F.length(s), s.rlike(tx.CJK)
     rx, ry = (x1 + x2) / 2 / F.greatest(F.lit(1), page_w), (y1 + y2) / 2 / F.greatest(F.lit(1), page_h)
     h = F.greatest(F.lit(1), y2 - y1)
     dots = F.contains(s, F.lit("…"))
     return first_match([
-        (tx.has_placeholder(text, MARK_WORDS) & ((ry < 0.15) | (ry > 0.85) | (rx < 0.16) | (rx > 0.85)), "H1_logo_strip"),
-        ((n == 1) & cjk & (confidence < 0.55), "H2_single_cjk_lowconf"),
-        ((n > 0) & ~dots & ~s.isin(".", "..") & ~s.rlike(r"[\p{L}\p{N}]") & (n <= 4) & (confidence < 0.80), "H3_punct_symbol_only"),
-        (s.rlike("^[-=>→←↑↓·•]+$") & (n <= 6) & (confidence < 0.90), "H4_arrow_dash_fragment"),
-        ((n > 0) & ~cjk & ~dots & (s != ".") & (n <= 8) & (h <= 15) & (confidence < 0.95) & ~((rx > 0.95) & (ry > 0.92)), "H5_short_thin_lowconf"),
-        (s.rlike("^[0-9OoDIlZ]{1,3}$") & (ry < 0.12) & ((rx > 0.80) | (rx < 0.15)) & (confidence < 0.95), "H6_logo_digits_top_corner"),
+        (((ry < 0.15) | (ry > 0.85) | (rx < 0.16) | (rx > 0.85)) & tx.has_placeholder(text, MARK_WORDS), "H1_logo_strip"),
+        ((confidence < 0.55) & (n == 1) & cjk, "H2_single_cjk_lowconf"),
+        ((confidence < 0.80) & (n > 0) & (n <= 4) & ~dots & ~s.isin(".", "..") & ~s.rlike(r"[\p{L}\p{N}]"), "H3_punct_symbol_only"),
+        ((confidence < 0.90) & (n <= 6) & s.rlike("^[-=>→←↑↓·•]+$"), "H4_arrow_dash_fragment"),
+        ((confidence < 0.95) & (h <= 15) & ~((rx > 0.95) & (ry > 0.92)) & (n > 0) & (n <= 8) & ~cjk & ~dots & (s != "."), "H5_short_thin_lowconf"),
+        ((confidence < 0.95) & (ry < 0.12) & ((rx > 0.80) | (rx < 0.15)) & (n <= 3) & s.rlike("^[0-9OoDIlZ]{1,3}$"), "H6_logo_digits_top_corner"),
     ])
 
 

@@ -95,7 +95,7 @@ def readings(spark, d):
     m5, m7, cut = F.pmod(i, F.lit(5)), F.pmod(i, F.lit(7)), F.left(t, F.length(t) - 1)
     b = F.when(m5 == 0, t).when(m5 == 1, F.upper(t)).when(m5 == 2, cut).when(m5 == 3, "").otherwise(F.concat(F.lit("zz"), F.left(t, F.lit(3))))
     c = F.when(m7 == 0, t).when(m7 == 1, "").when(m7 == 2, cut).otherwise(F.concat(F.lit("q "), F.right(t, F.lit(4))))
-    return x.select("id", *KEYS, t.alias("a"), F.col("confidence").alias("pa"), b.alias("b"), (F.pmod(i * 7, F.lit(100)) / 100.0).alias("pb"), c.alias("c"), (F.pmod(i * 13, F.lit(100)) / 100.0).alias("pc"))
+    return x.select("id", *KEYS, t.alias("a"), F.col("confidence").alias("pa"), b.alias("b"), (F.pmod(i * 7, F.lit(100)) / 100.0).alias("pb"), c.alias("c"), (F.pmod(i * 13, F.lit(100)) / 100.0).alias("pc"), "x1", "y1", "x2", "y2")
 
 
 @query(f"WITH {READINGS} SELECT id, tier, reason, suggested FROM x")
@@ -146,9 +146,10 @@ def review_packet(spark, d):
 SELECT doc_id, slide, count(*) FILTER (WHERE tier2 = 'yellow') AS yellow, count(*) FILTER (WHERE tier2 = 'red') AS red FROM final JOIN c USING (id) WHERE rule IS NULL AND tier2 <> 'green' GROUP BY doc_id, slide""")
 def pending_review(spark, d):
     """Slides with entries that are still to be looked at: weak or no consensus, and not cleared by a rule."""
-    cleared = clearing_rules(spark, d).filter("rule is not null").select("id")
-    x = _rescued(spark, d).join(cleared, "id", "left_anti").groupBy(*KEYS).agg(F.count_if(F.col("y.tier") == "yellow").alias("yellow"), F.count_if(F.col("y.tier") == "red").alias("red"))
-    return x.filter("yellow + red > 0")  # after the sums: a filter on a tier would move below the join and work the ladder out twice
+    x = _rescued(spark, d)
+    x = x.select(*KEYS, "y.tier", rules.clearing_rule(F.col("a"), F.col("pa"), *Box.of(""), F.lit(W), F.lit(H)).alias("rule"))
+    x = x.groupBy(*KEYS).agg(*(F.count_if(F.col("rule").isNull() & (F.col("tier") == t)).alias(t) for t in ("yellow", "red")))
+    return x.filter("yellow + red > 0")  # after the sums: a filter on a tier would work the ladder out twice
 
 
 # containers --------------------------------------------------------------------------------

@@ -10,13 +10,11 @@ from ..operators import graph, joins, windows
 from ..session import table
 from .registry import query
 
-TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-
 
 def lines(spark, d, *extra):
     """A row for each line: doc_id, extra columns, its index, and the line trimmed."""
     docs = table(spark, d, "documents").select("doc_id", *extra, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "raw"))
-    return docs.withColumn("line", F.regexp_replace("raw", TRIM, "")).drop("raw")
+    return docs.withColumn("line", F.btrim("raw", F.lit(tx.WHITE))).drop("raw")
 
 
 LINES = r"""lines AS (SELECT doc_id, lang, source, n_chars, unnest(range(0, len(l))) AS idx, regexp_replace(unnest(l), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line

@@ -267,3 +267,19 @@ def test_visible_jobs_makes_no_pairs(spark, sf_dir, monkeypatch):
     counts = spark.createDataFrame([(1, 2, 5, 9), (2, 1, 3, 3), (None, 1, 1, 1)], "owner_id long, n long, first_id long, last_id long")
     assert sorted(tuple(r) for r in documents.visible_counts(counts, users, "owner_id").collect()) == [(1, 4, 1, 9), (2, 2, 3, 3)]
     assert documents.visible_counts(counts.limit(0), users, "owner_id").count() == 0
+
+
+def test_consensus_of_long_lines(spark):
+    """Only whether lines are within an edit is asked, so distances stop there: lines of 20,000 characters, and short ones against whole distances."""
+    from random import Random
+
+    rnd = Random(2)
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    rows = [(x, word(rnd.randrange(6)) if rnd.random() < .3 else x[:k] + word(rnd.randrange(2)) + x[k + rnd.randrange(2):]) for x in (word(rnd.randrange(7)) for _ in range(500)) for k in [rnd.randrange(7)]]
+    d = spark.createDataFrame(rows, "a string, b string")
+    assert d.filter((F.levenshtein("a", "b") <= 1) != (F.levenshtein("a", "b", 1) >= 0)).count() == 0
+    x = rules.consensus(ENGINES)
+    d = spark.createDataFrame([("abcd" * 5000, .5, "bcda" * 5000, .5, "abce" * 5000, .5), ("abcd" * 5000, .5, "abcd" * 5000 + "x", .5, "y" + "abcd" * 5000, .5), ("abcd" * 5000, .5, "abcd" * 5000 + "x", .5, "abcd" * 5000 + "z", .5)],
+                              "a string, pa double, b string, pb double, c string, pc double")
+    assert all(", 1)" in p[:400] or ", Some(1)" in p[:400] for p in d.select(x.alias("x"))._jdf.queryExecution().analyzed().toString().split("levenshtein(")[1:])
+    assert [r["x"]["reason"] for r in d.select(x.alias("x")).collect()] == ["F_disagree", "F_disagree", "D_edit_close"]
