@@ -269,3 +269,12 @@ def test_groups_across_batches(spark):
     assert groups.folded(d.limit(0), ["k"], ["i"], step, "n long, ok boolean").count() == 0
     for out in (tables.detect(d.selectExpr("k as page", "i as x1", "i as y1", "i as x2", "i as y2"), ["page"]), folds.folded(d.selectExpr("k", "i", "name as text", "i as x1", "i as y1", "i as x2", "i as y2", "i as size", "true as bold", "name as color"), ["k"], "i")):
         assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_within_slides(spark):
+    """As connected_components says, in one pass."""
+    from spanwright.operators import graph
+
+    rnd = random.Random(4)
+    e = spark.createDataFrame([(k, k * 100 + rnd.randrange(24), k * 100 + rnd.randrange(24)) for k in range(20) for _ in range(12)], "page long, a long, b long")
+    assert sorted(map(tuple, graph.components_within(e, ["page"], "a", "b").collect())) == sorted(map(tuple, graph.connected_components(e, "a", "b").collect()))
